@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import small_batches
 
 SYMBOLS = "#*$%&|<>"
+_SPACE = " \t\n\r\x0b\x0c"
 _ENDS = tuple(".!?:;\"')]}…”»。！？")
 _SENTENCE = re.compile("[.!?…。！？]")
 _MARKED = re.compile(rb"[#*$%&!?<>|~^_=+]{2,}$")
@@ -94,9 +95,9 @@ def repeat_mask(words: list[bytes], width: int) -> np.ndarray:
 def base_statistics(text: str, rules: QualityRules) -> tuple[int, int, int, int, int, bool]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     words = text.encode().split()
-    word_chars = len(text) - sum(text.count(c) for c in " \t\n\r\x0b\x0c")
-    symbols = sum(text.count(c) for c in SYMBOLS)
-    lines = [x for x in text.split("\n") if x.strip(" \t\r\x0b\x0c")]
+    word_chars = len(text) - sum(map(text.count, _SPACE))
+    symbols = sum(map(text.count, SYMBOLS))
+    lines = [x for x in text.split("\n") if x.strip(_SPACE)]
     repeated = int(repeat_mask(words, rules.window).sum())
     failed = len(words) < rules.min_words or 100 * repeated > rules.max_repeat_percent * len(words)
     return len(words), word_chars, symbols, len(lines) - len(set(lines)), repeated, failed
@@ -117,7 +118,7 @@ def line_fault(line: str, earlier: bool, rules: QualityRules) -> str | None:
         return "symbols"
     if n >= rules.repeat_words and len(set(words)) < rules.distinct_share * n:
         return "repetition"
-    if n > rules.bare_words and not line.rstrip().endswith(_ENDS) and len(_SENTENCE.findall(line)) * rules.bare_words < n:
+    if n > rules.bare_words and not line.rstrip(_SPACE).endswith(_ENDS) and len(_SENTENCE.findall(line)) * rules.bare_words < n:
         return "punctuation"
     if earlier and n >= rules.repeated_words:
         return "repeated"
@@ -135,7 +136,7 @@ def judge(text: str, rules: QualityRules) -> tuple:
             kept_lines.append(line)
         else:
             faults[fault] += 1
-            removed += len("".join(line.split(None)))
+            removed += len(line) - sum(map(line.count, _SPACE))
     chars = max(1, base[1])
     kept = not base[-1] and (base[1] - removed) >= rules.keep_share * chars
     return *base, kept, removed, dict(faults), "\n".join(kept_lines)
