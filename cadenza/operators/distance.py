@@ -34,6 +34,17 @@ def dtw(a: np.ndarray, b: np.ndarray) -> float:
     return float(last[n])
 
 
+def dtw_to_many(a: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """``dtw`` of one sequence of numbers to each row of a matrix; every cell is computed for all rows at once."""
+    row = [np.zeros(len(many)), *[np.full(len(many), np.inf)] * many.shape[1]]
+    for x in a:
+        now = [np.full(len(many), np.inf)]
+        for j in range(many.shape[1]):
+            now.append(np.abs(many[:, j] - x) + np.minimum(np.minimum(row[j], row[j + 1]), now[j]))
+        row = now
+    return row[-1]
+
+
 def dtw_repeats(notes: DataFrame, width: int, threshold: float, group: list[str] = GROUP) -> DataFrame:
     """(group, i, j, distance): non-overlapping windows of ``width`` pitches whose time-warping distance is below ``threshold``.
 
@@ -42,13 +53,16 @@ def dtw_repeats(notes: DataFrame, width: int, threshold: float, group: list[str]
 
     def run(pdf: pd.DataFrame) -> Iterator[tuple]:
         x = pdf["pitch"].to_numpy(dtype=float)
-        windows = max(0, len(x) - width)
-        for i in range(windows):
-            j = np.arange(i + width, windows)
+        if len(x) <= 2 * width:
+            return
+        windows = np.lib.stride_tricks.sliding_window_view(x, width)[:-1]
+        for i in range(len(windows)):
+            j = np.arange(i + width, len(windows))
             ends = np.abs(x[j] - x[i]) + (np.abs(x[j + width - 1] - x[i + width - 1]) if width > 1 else 0)
-            for k in j[ends < threshold].tolist():
-                if (d := dtw(x[i : i + width], x[k : k + width])) < threshold:
-                    yield i, k, d
+            j = j[ends < threshold]
+            d = dtw_to_many(windows[i], windows[j])
+            near = d < threshold
+            yield from zip([i] * int(near.sum()), j[near].tolist(), d[near].tolist(), strict=True)
 
     return per_group(notes, group, ["note_id", "start", "pitch"], "i int, j int, distance double", run)
 

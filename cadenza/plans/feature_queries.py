@@ -42,7 +42,7 @@ def scaler_E(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {E}, {LAGS}, {F10}, {LONG10}, w(feature, weight) AS (VALUES {_W}), s AS (SELECT feature, CASE WHEN stddev_pop(value) = 0 THEN 1 ELSE stddev_pop(value) END AS sd FROM long GROUP BY feature),
   q AS (SELECT feature, value FROM long WHERE track_id = (SELECT min(track_id) FROM f)),
   d AS (SELECT l.track_id, sum(pow(weight * (q.value - l.value) / sd, 2)) AS d2 FROM long l JOIN q USING (feature) JOIN s USING (feature) JOIN w USING (feature) GROUP BY l.track_id)
-  SELECT row_number() OVER (ORDER BY d2, track_id) AS rank, track_id, {r('d2')}, round(1 / (1 + d2), 4) AS similarity FROM d ORDER BY d2, track_id LIMIT 33"""
+  SELECT CAST(row_number() OVER (ORDER BY d2, track_id) AS INT) AS rank, track_id, {r('d2')}, round(1 / (1 + d2), 4) AS similarity FROM d ORDER BY d2, track_id LIMIT 33"""
 )
 def similar_tracks_E(spark: SparkSession, d: str) -> DataFrame:
     catalogue = tracks10(spark, d)
@@ -51,7 +51,7 @@ def similar_tracks_E(spark: SparkSession, d: str) -> DataFrame:
 
 def _knn_sql(weight: str) -> str:
     return f"""WITH {_V}, {_SCALE}, q AS (SELECT i, val FROM x WHERE vec_id = 0), d AS (SELECT x.vec_id AS id, sum(pow({weight} * (q.val - x.val) / sd, 2)) AS d2 FROM x JOIN q USING (i) JOIN s USING (i) GROUP BY x.vec_id)
-  SELECT row_number() OVER (ORDER BY d2, id) AS rank, id, {r('d2')}, round(1 / (1 + d2), 4) AS similarity FROM d ORDER BY d2, id LIMIT 33"""
+  SELECT CAST(row_number() OVER (ORDER BY d2, id) AS INT) AS rank, id, {r('d2')}, round(1 / (1 + d2), 4) AS similarity FROM d ORDER BY d2, id LIMIT 33"""
 
 
 @query(_knn_sql("(0.5 + ((i - 1) % 4) * 0.5)"))
@@ -125,7 +125,7 @@ def corr_E(spark: SparkSession, d: str) -> DataFrame:
     return rounded(search.correlations(tracks8(spark, d), _VARYING), "corr")
 
 
-_KNN = "p AS (SELECT a.vec_id AS id, b.vec_id AS neighbour, a.label AS la, b.label AS lb, pow(list_distance(a.e, b.e), 2) AS d2 FROM v a JOIN v b ON a.vec_id <> b.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(d2, 9), neighbour) AS rank FROM p QUALIFY rank <= 5)"
+_KNN = "p AS (SELECT a.vec_id AS id, b.vec_id AS neighbour, a.label AS la, b.label AS lb, pow(list_distance(a.e, b.e), 2) AS d2 FROM v a JOIN v b ON a.vec_id <> b.vec_id), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY round(d2, 9), neighbour) AS INT) AS rank FROM p QUALIFY rank <= 5)"
 
 
 @query(f"WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), {_KNN} SELECT id, rank, neighbour, {r('d2')} FROM k")

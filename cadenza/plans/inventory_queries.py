@@ -13,7 +13,7 @@ from cadenza.sources.tables import table
 
 @query(
     r"""WITH p AS (SELECT regexp_extract(regexp_replace(url, '[?#].*$', ''), '(\.[^./]+)$', 1) AS ext FROM pages), c AS (SELECT CASE WHEN coalesce(ext, '') = '' THEN '(no extension)' ELSE lower(ext) END AS ext, count(*) AS n FROM p GROUP BY 1),
-  r AS (SELECT *, row_number() OVER (ORDER BY n DESC, ext) AS rank FROM c), g AS (SELECT least(rank, 6) AS rank, CASE WHEN rank <= 5 THEN ext ELSE 'others' END AS ext, sum(n) AS n FROM r GROUP BY 1, 2)
+  r AS (SELECT *, CAST(row_number() OVER (ORDER BY n DESC, ext) AS INT) AS rank FROM c), g AS (SELECT CAST(least(rank, 6) AS INT) AS rank, CASE WHEN rank <= 5 THEN ext ELSE 'others' END AS ext, sum(n) AS n FROM r GROUP BY 1, 2)
   SELECT ext, CAST(n AS BIGINT) AS n, round(100.0 * n / sum(n) OVER (), 4)::DOUBLE AS percent, rank FROM g"""
 )
 def file_inventory_P(spark: SparkSession, d: str) -> DataFrame:

@@ -47,7 +47,7 @@ def motifs_multi_len_E(spark: SparkSession, d: str) -> DataFrame:
     return found.select("track_id", "n", joined("gram").alias("gram"), joined("positions").alias("positions"), "count")
 
 
-@query(f"WITH {E}, gr AS ({_levels('pitch % 12', 2, 5)}), {_MOTIFS} SELECT track_id, rank, n, gram, count, score FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, positions[1], n, gram) AS rank FROM mo) WHERE rank <= 5")
+@query(f"WITH {E}, gr AS ({_levels('pitch % 12', 2, 5)}), {_MOTIFS} SELECT track_id, rank, n, gram, count, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY track_id ORDER BY score DESC, positions[1], n, gram) AS INT) AS rank FROM mo) WHERE rank <= 5")
 def motif_score_topk_E(spark: SparkSession, d: str) -> DataFrame:
     found = g.motifs(g.grams(_classes(spark, d), 2, 5, TRACK), 2, TRACK).withColumn("gram", joined("gram"))
     return g.top_motifs(found, [F.col("score").desc()], 5, TRACK).select("track_id", "rank", "n", "gram", "count", "score")
@@ -59,7 +59,7 @@ def longest_frequent_E(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("gram", joined("gram"))
 
 
-@query(f"WITH {L} SELECT file_id, track_id, start, string_agg(CAST(pitch AS VARCHAR), ',' ORDER BY pitch) AS pitches, min(pitch) AS bass, max(dur) AS dur, count(*) AS density FROM mel GROUP BY file_id, track_id, start")
+@query(f"WITH {L} SELECT file_id, track_id, CAST(start AS INT) AS start, string_agg(CAST(pitch AS VARCHAR), ',' ORDER BY pitch) AS pitches, min(pitch) AS bass, max(dur) AS dur, count(*) AS density FROM mel GROUP BY file_id, track_id, start")
 def chords_L(spark: SparkSession, d: str) -> DataFrame:
     return g.chords(_lines(spark, d)).withColumn("pitches", joined("pitches"))
 
@@ -101,7 +101,7 @@ def arpeggio_E(spark: SparkSession, d: str) -> DataFrame:
 _OCT = "CAST(round_even(pitch / 12, 0) AS INT)"
 
 
-@query(f"WITH {E}, gr AS ({_levels(_OCT, 3, 8)}), {_MOTIFS} SELECT track_id, rank, n, gram, count FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY count DESC, n DESC, positions[1], gram) AS rank FROM mo) WHERE rank <= 10")
+@query(f"WITH {E}, gr AS ({_levels(_OCT, 3, 8)}), {_MOTIFS} SELECT track_id, rank, n, gram, count FROM (SELECT *, CAST(row_number() OVER (PARTITION BY track_id ORDER BY count DESC, n DESC, positions[1], gram) AS INT) AS rank FROM mo) WHERE rank <= 10")
 def octave_patterns_E(spark: SparkSession, d: str) -> DataFrame:
     found = g.motifs(g.grams(g.sequences(_notes(spark, d), octave_bucket("pitch"), TRACK), 3, 8, TRACK), 2, TRACK).withColumn("gram", joined("gram"))
     return g.top_motifs(found, [F.col("count").desc(), F.col("n").desc()], 10, TRACK).select("track_id", "rank", "n", "gram", "count")
@@ -116,7 +116,7 @@ def earworm_candidates_E(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {E}, gr AS (SELECT track_id, row_number() OVER w - 1 AS pos, start, start + dur + lead(dur, 1) OVER w + lead(dur, 2) OVER w AS stop, {_text('pitch % 12', 3)} AS gram FROM mel {_W}), fr AS (SELECT track_id, gram FROM gr WHERE gram IS NOT NULL GROUP BY ALL HAVING count(*) >= 2)
-  SELECT track_id, gram, pos, round(start, 3) AS start, round(stop, 3) AS stop FROM gr SEMI JOIN fr USING (track_id, gram)"""
+  SELECT track_id, gram, CAST(pos AS INT) AS pos, round(start, 3) AS start, round(stop, 3) AS stop FROM gr SEMI JOIN fr USING (track_id, gram)"""
 )
 def pattern_occurrences_E(spark: SparkSession, d: str) -> DataFrame:
     found = g.windows(_notes(spark, d), pitch_class("pitch"), 3, TRACK)
