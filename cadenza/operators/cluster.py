@@ -28,8 +28,15 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 42) -> tuple[DataFrame, float
 
 
 def elbow(vectors: DataFrame, ks: range, seed: int = 42) -> DataFrame:
-    """(k, cost)."""
-    return vectors.sparkSession.createDataFrame([(k, kmeans(vectors, k, seed)[1]) for k in ks], "k int, cost double")
+    """(k, cost); the cost of one cluster is the spread about the mean."""
+
+    def cost(k: int) -> float:
+        if k > 1:
+            return kmeans(vectors, k, seed)[1]
+        each = vectors.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg((F.var_pop("x") * F.count(F.lit(1))).alias("v"))
+        return float(each.agg(F.sum("v")).first()[0] or 0.0)
+
+    return vectors.sparkSession.createDataFrame([(k, cost(k)) for k in ks], "k int, cost double")
 
 
 def best_k(vectors: DataFrame, ks: range = range(2, 11), least: int = 5, seed: int = 42) -> DataFrame:

@@ -116,8 +116,8 @@ def estimate_tempo(notes: DataFrame, group: list[str], first_tempo: Column | Non
     onsets = notes.select(*group, "start").distinct().withColumn("gap", F.bround((F.col("start") - F.lag("start").over(order)) / unit) * unit)
     gaps = onsets.where("gap > 0").groupBy(*group, "gap").agg(F.count(F.lit(1)).alias("n"))
     mode = gaps.groupBy(*group).agg(F.max(F.struct("n", (-F.col("gap")).alias("g"))).alias("m")).select(*group, (F.lit(60.0) / -F.col("m.g")).alias("bpm"))
-    octaves = F.floor(F.log2(F.col("bpm") / F.lit(low)))
-    folded = mode.withColumn("bpm", F.col("bpm") / F.pow(F.lit(2.0), octaves))  # in [low, 2 low)
-    folded = folded.withColumn("bpm", F.when(F.col("bpm") < high, F.col("bpm")).otherwise(F.col("bpm") / 2))
+    down = F.greatest(F.floor(F.log2(F.col("bpm") / high)) + 1, F.lit(0))
+    up = F.greatest(F.ceil(F.log2(F.lit(low) / F.col("bpm"))), F.lit(0))
+    folded = mode.withColumn("bpm", F.col("bpm") * F.pow(F.lit(2.0), up - down))
     known = notes.groupBy(*group).agg((F.lit(None).cast("double") if first_tempo is None else first_tempo).alias("__first"))
     return known.join(folded, group, "left").select(*group, F.coalesce("bpm", "__first", F.lit(DEFAULT_TEMPO)).alias("tempo"))

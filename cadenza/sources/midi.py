@@ -89,7 +89,7 @@ def pair_lifo(found: DataFrame) -> DataFrame:
     walk = walk.withColumn("__low", F.least(F.min("__sum").over(so_far), F.lit(0)))
     # an off that sets a new minimum closes nothing
     idle = (F.col("on") == 0) & (F.col("__low") < F.coalesce(F.lag("__low").over(by_pitch), F.lit(0)))
-    level = walk.where(~idle).withColumn("__level", F.col("__sum") - F.col("__low") + F.when(F.col("on") == 1, 0).otherwise(1))
+    level = walk.withColumn("__idle", idle).where("not __idle").withColumn("__level", F.col("__sum") - F.col("__low") + F.when(F.col("on") == 1, 0).otherwise(1))
     brackets = Window.partitionBy("file_id", "track_id", "pitch", "__level").orderBy("seq")
     paired = level.withColumns({"__next": F.lead("on").over(brackets), "end_tick": F.lead("time").over(brackets)}).where("on = 1 and __next = 0")
     return paired.select("file_id", "track_id", F.col("seq").cast("long").alias("note_id"), "pitch", F.col("time").alias("start_tick"), "end_tick", "velocity")

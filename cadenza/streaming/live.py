@@ -20,10 +20,10 @@ from cadenza.sources import midi
 _NOTE = "file_id string, track_id long, pitch int, start_tick long, end_tick long, velocity int"
 
 
-def pair_notes(raw: DataFrame, patience: str = "1 hour") -> DataFrame:
+def pair_notes(raw: DataFrame, patience_ms: int = 3_600_000) -> DataFrame:
     """(file_id, track_id, pitch, start_tick, end_tick, velocity) of on and off events (file_id, track_id, seq, time, pitch, velocity), last opened first closed.
 
-    The state of a pitch is its open notes; they are dropped after ``patience`` without an event.
+    The state of a pitch is its open notes; they are dropped after ``patience_ms`` without an event.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -40,7 +40,7 @@ def pair_notes(raw: DataFrame, patience: str = "1 hour") -> DataFrame:
             elif starts:
                 out.append((*key, starts.pop(), int(time), velocities.pop()))
         state.update((starts, velocities))
-        state.setTimeoutDuration(patience)
+        state.setTimeoutDuration(patience_ms)
         if out:
             yield pd.DataFrame(out, columns=["file_id", "track_id", "pitch", "start_tick", "end_tick", "velocity"])
 
@@ -52,7 +52,7 @@ def silence_sessions(notes: DataFrame, bar_seconds: float, late: str = "10 minut
 
     A session's gap is the note's length plus a bar and one microsecond, since silence of exactly a bar does not part segments but a session closes at its gap.
     """
-    gap = F.concat(((F.col("dur") + F.lit(bar_seconds)) * 1_000_000 + 1).cast("long").cast("string"), F.lit(" microseconds"))
+    gap = F.concat(((F.col("dur") + F.lit(bar_seconds)) * 1e6 + 1).cast("long").cast("string"), F.lit(" microseconds"))
     timed = notes.withWatermark("ts", late) if notes.isStreaming else notes
     found = timed.groupBy(*group, F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n_notes"), F.max(F.col("ts") + F.make_dt_interval(secs=F.col("dur"))).alias("end"))
     return found.select(*group, F.col("session_window.start").alias("start"), "end", "n_notes")
