@@ -20,16 +20,13 @@ from cadenza.sources import midi
 _NOTE = "file_id string, track_id long, pitch int, start_tick long, end_tick long, velocity int"
 
 
-def pair_notes(raw: DataFrame, patience_ms: int = 3_600_000) -> DataFrame:
+def pair_notes(raw: DataFrame) -> DataFrame:
     """(file_id, track_id, pitch, start_tick, end_tick, velocity) of on and off events (file_id, track_id, seq, time, pitch, velocity), last opened first closed.
 
-    The state of a pitch is its open notes; they are dropped after ``patience_ms`` without an event.
+    The state of a pitch is its open notes and goes with the last of them; what a track leaves open stays, at most a few notes a pitch.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         (starts, velocities) = (list(x) for x in state.get) if state.exists else ([], [])
         rows = pd.concat(list(batches)).sort_values(["time", "seq"], kind="stable")
         out = []
@@ -39,12 +36,14 @@ def pair_notes(raw: DataFrame, patience_ms: int = 3_600_000) -> DataFrame:
                 velocities.append(int(velocity))
             elif starts:
                 out.append((*key, starts.pop(), int(time), velocities.pop()))
-        state.update((starts, velocities))
-        state.setTimeoutDuration(patience_ms)
+        if starts:
+            state.update((starts, velocities))
+        elif state.exists:
+            state.remove()
         if out:
             yield pd.DataFrame(out, columns=["file_id", "track_id", "pitch", "start_tick", "end_tick", "velocity"])
 
-    return raw.groupBy("file_id", "track_id", "pitch").applyInPandasWithState(run, _NOTE, "starts array<long>, velocities array<int>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return raw.groupBy("file_id", "track_id", "pitch").applyInPandasWithState(run, _NOTE, "starts array<long>, velocities array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
 def silence_sessions(notes: DataFrame, bar_seconds: float, late: str = "10 minutes", group: tuple[str, ...] = ("track_id",)) -> DataFrame:
