@@ -34,13 +34,17 @@ def dtw(a: np.ndarray, b: np.ndarray) -> float:
     return float(last[n])
 
 
-def dtw_to_many(a: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """``dtw`` of one sequence of numbers to each row of a matrix; every cell is computed for all rows at once."""
-    row = [np.zeros(len(many)), *[np.full(len(many), np.inf)] * many.shape[1]]
-    for x in a:
-        now = [np.full(len(many), np.inf)]
-        for j in range(many.shape[1]):
-            now.append(np.abs(many[:, j] - x) + np.minimum(np.minimum(row[j], row[j + 1]), now[j]))
+#: Pairs whose warping distances are computed at a time.
+_PAIRS = 1 << 16
+
+
+def dtw_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``dtw`` of each row of one matrix of numbers to the same row of another; every cell is computed for all rows at once."""
+    row = [np.zeros(len(a)), *[np.full(len(a), np.inf)] * b.shape[1]]
+    for i in range(a.shape[1]):
+        now = [np.full(len(a), np.inf)]
+        for j in range(b.shape[1]):
+            now.append(np.abs(a[:, i] - b[:, j]) + np.minimum(np.minimum(row[j], row[j + 1]), now[j]))
         row = now
     return row[-1]
 
@@ -56,13 +60,21 @@ def dtw_repeats(notes: DataFrame, width: int, threshold: float, group: list[str]
         if len(x) <= 2 * width:
             return
         windows = np.lib.stride_tricks.sliding_window_view(x, width)[:-1]
-        for i in range(len(windows)):
-            j = np.arange(i + width, len(windows))
-            ends = np.abs(x[j] - x[i]) + (np.abs(x[j + width - 1] - x[i + width - 1]) if width > 1 else 0)
-            j = j[ends < threshold]
-            d = dtw_to_many(windows[i], windows[j])
-            near = d < threshold
-            yield from zip([i] * int(near.sum()), j[near].tolist(), d[near].tolist(), strict=True)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for i in range(len(windows) + 1):
+            if i < len(windows):
+                j = np.arange(i + width, len(windows))
+                ends = np.abs(x[j] - x[i]) + (np.abs(x[j + width - 1] - x[i + width - 1]) if width > 1 else 0)
+                j = j[ends < threshold]
+                held.append((np.full(len(j), i), j))
+                size += len(j)
+            if held and (size >= _PAIRS or i == len(windows)):
+                first, second = (np.concatenate(c) for c in zip(*held, strict=True))
+                d = dtw_pairs(windows[first], windows[second])
+                near = d < threshold
+                yield from zip(first[near].tolist(), second[near].tolist(), d[near].tolist(), strict=True)
+                held, size = [], 0
 
     return per_group(notes, group, ["note_id", "start", "pitch"], "i int, j int, distance double", run)
 

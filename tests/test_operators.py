@@ -220,8 +220,8 @@ def test_time_warping():
     for n, m in ((1, 1), (1, 5), (4, 7), (8, 8), (9, 2)):
         a, b = rng.normal(size=(n, 2)), rng.normal(size=(m, 2))
         assert abs(distance.dtw(a, b) - plain(a, b)) < 1e-9
-        many = rng.normal(size=(6, m))
-        assert np.allclose(distance.dtw_to_many(a[:, 0], many), [plain(a[:, :1], row[:, None]) for row in many])
+        one, many = rng.normal(size=(6, n)), rng.normal(size=(6, m))
+        assert np.allclose(distance.dtw_pairs(one, many), [plain(x[:, None], y[:, None]) for x, y in zip(one, many, strict=True)])
     assert distance.dtw([], []) == 0 and distance.dtw([1], []) == np.inf
     assert distance.shared_ratio([], []) == 1 and distance.shared_ratio([1], []) == 0 and distance.shared_ratio([1, 2, 3], [1, 2, 4]) == pytest.approx(2 / 3)
     same = {"pitch": [60, 62], "dur": [1, 2]}
