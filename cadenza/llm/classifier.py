@@ -3,7 +3,7 @@
     y = w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2),  score = 1 / (1 + e^-y)
 
 so all pairwise interactions cost time linear in a text's features.  Features of a text: each distinct word (lower-cased,
-crc32 into ``buckets``) with weight sqrt(count), scaled to unit length; ``STRUCTURE`` statistics of the whole text; and, as
+crc32 into ``buckets``) with weight sqrt(count), scaled to unit length, and to less in a text of few words; ``STRUCTURE`` statistics of the whole text; and, as
 metadata, the document's character count.  Labels, lang, source and doc_id are no inputs.
 
 Learning: labelled rows whose crc32(doc_id as text) mod 3 is not 1, at most ``sample_rows`` of them (a documented bound; those
@@ -11,7 +11,7 @@ of least md5(doc_id)), as feature rows of at most ``buckets`` entries each; AdaG
 Scoring covers every row and whole texts, one batch at a time, without a shuffle.
 
 Defined cases: null text is the empty text, which has a score from its structure features; a null doc_id is never learnt from
-and not held out; a label other than 0 or 1, or null, is left out; repeated rows and labels count once per match; without any label every
+and not held out; a label other than 0 or 1, or null, is left out; repeated labels count once, and of rows that share a doc_id the least text; without any label every
 score is 0.5, predicted 1; an empty table gives no rows; other columns are ignored, and rows keep theirs in ``keep_good``.
 """
 
@@ -32,6 +32,8 @@ STRUCTURE = (
     "log words", "log characters", "mean word length", "upper-case share", "share of words ending in a symbol", "digit share", "symbol share", "distinct word share", "share of adjacent equal words",
     "share of repeated lines", "words per line", "sentence marks per word", "separators per word", "white space share", "longest word", "no words", "log metadata characters",
 )
+#: The number of words at which a text's words weigh 1 / sqrt(2) of a long text's.
+_FEW_WORDS = 30
 _SYMBOL_BYTES = frozenset(b"#*$%&|<>!?^~_=+@")
 
 
@@ -69,7 +71,8 @@ def _features(text: str, n_chars: int | None, buckets: int, cache: dict[bytes, i
             1 - len(set(lines)) / max(1, len(lines)), min(2.0, n / max(1, len(lines)) / 50), min(2.0, sum(map(text.count, ".!?")) / d * 4), min(2.0, sum(map(text.count, "|»•·")) / d * 2), text.count(" ") / max(1, chars), min(2.0, longest / 50), float(n == 0), np.log1p(max(0, n_chars or 0)) / 10,
         ]
     )
-    norm = float(np.sqrt((weights**2).sum())) if n else 1.0
+    # a few words say little, so a short text's are scaled down
+    norm = float(np.sqrt((weights**2).sum() * (1 + _FEW_WORDS / n))) if n else 1.0
     return np.concatenate([np.arange(len(STRUCTURE)), found + len(STRUCTURE)]), np.concatenate([structure, weights / norm])
 
 
@@ -92,22 +95,19 @@ class FactorisationMachine:
 
 
 def learn(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], size: int, factors: int = 8, epochs: int = 12, rate: float = 0.1, l2: float = 1e-5, seed: int = 7) -> FactorisationMachine:
-    """AdaGrad on log loss; labels are weighted so that both classes count alike."""
+    """AdaGrad on log loss."""
     rng = np.random.default_rng(seed)
     w, v, w0 = np.zeros(size), rng.normal(0, 0.05, (size, factors)), 0.0
     if not rows:
         return FactorisationMachine(0.0, w, np.zeros((size, factors)))
     gw, gv, g0 = np.full(size, 1e-6), np.full((size, factors), 1e-6), 1e-6
-    good = sum(labels)
-    # a class's total weight is half the rows; with one class only, its weight is 1
-    weight = [len(labels) / (2 * max(1, len(labels) - good)), len(labels) / (2 * max(1, good))] if 0 < good < len(labels) else [1.0, 1.0]
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             at, x = rows[i]
             va = v[at]
             s = x @ va
             y = w0 + x @ w[at] + 0.5 * (s @ s - (x * x) @ (va * va).sum(axis=1))
-            g = weight[labels[i]] * (1 / (1 + np.exp(-np.clip(y, -30, 30))) - labels[i])
+            g = 1 / (1 + np.exp(-np.clip(y, -30, 30))) - labels[i]
             g0 += g * g
             w0 -= rate * g / np.sqrt(g0)
             dw = g * x + l2 * w[at]
@@ -128,11 +128,12 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 4000, buck
     """Fit on a bounded sample of the rows that may be learnt from."""
     small_batches(documents.sparkSession)
     has_chars = "n_chars" in documents.columns
-    known = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__y")).where(remainder("__id") != 1)
+    known = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__y")).where(remainder("__id") != 1).distinct()
     chosen = known.select("__id", "__y", F.md5(F.col("__id").cast("string")).alias("__h")).orderBy("__h", "__id", "__y").limit(sample_rows)
     texts = documents.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("__text"), (F.col("n_chars") if has_chars else F.lit(None)).cast("long").alias("__n"))
-    # at most sample_rows rows of two integers and a hash, by the limit above
-    sample = texts.join(F.broadcast(chosen), texts.doc_id == chosen["__id"]).select("__id", "__y", "__text", "__n")
+    # at most sample_rows rows of two integers and a hash, by the limit above; one text a key, so no more rows come back
+    joined = texts.join(F.broadcast(chosen), texts.doc_id == chosen["__id"])
+    sample = joined.groupBy("__id", "__y").agg(F.min(F.struct("__text", "__n")).alias("__t")).select("__id", "__y", "__t.__text", "__t.__n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
@@ -142,7 +143,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 4000, buck
                 [batch.column(0), batch.column(1), pa.array([a.astype(np.int32) for a, _ in made], type=pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in made], type=pa.list_(pa.float32()))], names=["id", "y", "at", "x"]
             )
 
-    rows = sorted(sample.mapInArrow(run, f"id {sample.schema[0].dataType.simpleString()}, y int, at array<int>, x array<float>").toLocalIterator(), key=lambda r: (str(r.id), r.y))[: 2 * sample_rows]
+    rows = sorted(sample.mapInArrow(run, f"id {sample.schema[0].dataType.simpleString()}, y int, at array<int>, x array<float>").toLocalIterator(), key=lambda r: (str(r.id), r.y))
     return learn([(np.array(r.at), np.array(r.x, dtype=np.float64)) for r in rows], [r.y for r in rows], len(STRUCTURE) + buckets, **settings)
 
 
