@@ -55,7 +55,7 @@ class QualityRules:
     boilerplate_chars: int = 400
     marked_share: float = 0.3
     repeat_words: int = 20
-    distinct_share: float = 0.2
+    distinct_share: float = 0.25
     bare_words: int = 60
     repeated_words: int = 4
     keep_share: float = 0.5
