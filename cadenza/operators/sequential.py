@@ -28,29 +28,37 @@ def per_group(df: DataFrame, keys: list[str], columns: list[str], made: str, run
     return df.select(*keys, *columns).groupBy(*keys).applyInPandas(call, schema)
 
 
-def repeated_patterns(start: np.ndarray, end: np.ndarray, pitch: np.ndarray, dur: np.ndarray, bar: float | np.ndarray, tolerance: float = 10, mode: str = "repeat") -> Iterator[tuple[int, int]]:
+def repeated_patterns(start: np.ndarray, end: np.ndarray, pitch: np.ndarray, dur: np.ndarray, bar: float | np.ndarray, tolerance: float = 10, mode: str = "repeat", neighbours: int = 0) -> Iterator[tuple[int, int]]:
     """(first, length) of the patterns of one segment.
 
     Notes agree if their pitches are equal and their durations differ by at most ``tolerance``.  From note i, a copy may begin at note j > i
     that agrees with it and ends a bar or more after i begins.  The pattern reaches from i up to the first note that shares j's onset and has more than
     two notes.  ``repeat``: it counts if it and the note after it agree, note for note, with what begins at j (so a third copy has begun); the first
     such j counts and the search goes on after the second copy.  ``run``: for every such j, what agrees note for note from i and j on, up to the
-    pattern's end, counts where it stops before the segment does.
+    pattern's end, counts where it stops before the segment does.  ``neighbours``: a note also agrees with j if one of so many notes before or after j has its
+    pitch and j's onset, so that the order within a chord does not matter.
     """
     n = len(start)
     bars = np.broadcast_to(np.asarray(bar, dtype=float), (n,)) if n else np.zeros(0)
     onset = np.searchsorted(start, start, side="left")  # first note of each onset
 
+    def agree(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        hit = pitch[i] == pitch[j]
+        for step in [s * k for k in range(1, neighbours + 1) for s in (-1, 1)]:
+            k = np.clip(j + step, 0, n - 1)
+            hit |= (j + step == k) & (start[k] == start[j]) & (pitch[k] == pitch[i])
+        return hit & (np.abs(dur[i] - dur[j]) <= tolerance)
+
     def agreeing(i: int, j: int, most: int) -> int:
         """How many notes from i and from j on agree, ``most`` at most."""
         most = min(most, n - j)
-        same = (pitch[i : i + most] == pitch[j : j + most]) & (np.abs(dur[i : i + most] - dur[j : j + most]) <= tolerance)
+        same = agree(np.arange(i, i + most), np.arange(j, j + most))
         return most if same.all() else int(np.argmin(same))
 
     i = 0
     while i < n:
         later = np.arange(i + 1, n)
-        heads = later[(pitch[later] == pitch[i]) & (np.abs(dur[later] - dur[i]) <= tolerance) & (end[later] - start[i] >= bars[i]) & (onset[later] - i > 2)]
+        heads = later[agree(i, later) & (end[later] - start[i] >= bars[i]) & (onset[later] - i > 2)]
         after = i + 1
         for j in heads.tolist():
             length = int(onset[j]) - i

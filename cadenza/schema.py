@@ -31,6 +31,7 @@ FEATURE_WEIGHTS = {
 }
 FEATURES10 = list(FEATURE_WEIGHTS)
 FEATURES8 = ["tempo", "pitch_mean", "pitch_std", "duration_mean", "duration_std", "ioi_mean", "ioi_std", "syncopation_ratio"]
-#: Result cap of a similarity search, tempo where none is known, ticks of a bar without a signature.
+#: Result cap of a similarity search, tempo where none is known, ticks of a bar without a signature.
 TOP_K, DEFAULT_TEMPO, DEFAULT_BAR_TICKS = 33, 120.0, 384
+#: Names of pitch classes.
 NOTE_NAMES = ("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")

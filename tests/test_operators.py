@@ -39,6 +39,8 @@ def test_repeat_detector():
     stretched = [(p, s, d + (10 if 3 <= i < 6 else 0)) for i, (p, s, d) in enumerate(melody(*[a, b, c] * 3, length=20.0))]
     assert patterns(stretched) == [(0, 3)] and patterns([(p, s, d + (1 if d > 20 else 0)) for p, s, d in stretched]) == []
     assert patterns(melody(*[a, b, c] * 2, 70), mode="run") == [(0, 3)]
+    chords = [(p, 4.0 * k, 4.0) for k in range(3) for p in ((60, 64, 67) if k != 1 else (64, 60, 67))]
+    assert patterns(chords, bar=1.0) == [] and patterns(chords, bar=1.0, neighbours=7) == [(0, 3)]
     assert patterns([]) == [] and patterns([(60, 0, 1)]) == [] and patterns([(60, 0, 1)] * 9) == []
 
 
