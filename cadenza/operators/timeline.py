@@ -68,9 +68,10 @@ def in_bars(notes: DataFrame, bar: int) -> DataFrame:
 
 def bars(notes: DataFrame, bar: int, group: list[str] = GROUP) -> DataFrame:
     """(group, bar, start, end, notes): non-empty bars on the grid of 0; the last one ends with the track."""
-    held = in_bars(notes, bar).groupBy(*group, "bar").agg(F.array_sort(F.collect_list(F.struct("start", "note_id", "pitch", "dur", "velocity", "end"))).alias("notes"))
-    ends = notes.groupBy(*group).agg(F.max("end").alias("__end"))
-    return held.join(ends, group).select(*group, "bar", (F.col("bar") * bar).alias("start"), F.least((F.col("bar") + 1) * bar, "__end").alias("end"), "notes")
+    # dealt by track once: the bars and whatever follows on tracks need no second shuffle
+    ended = notes.withColumn("__end", F.max("end").over(Window.partitionBy(*group)))
+    held = in_bars(ended, bar).groupBy(*group, "bar").agg(F.array_sort(F.collect_list(F.struct("start", "note_id", "pitch", "dur", "velocity", "end"))).alias("notes"), F.max("__end").alias("__end"))
+    return held.select(*group, "bar", (F.col("bar") * bar).alias("start"), F.least((F.col("bar") + 1) * bar, "__end").alias("end"), "notes")
 
 
 def empty_bars(notes: DataFrame, bar: int, group: list[str] = GROUP) -> DataFrame:
