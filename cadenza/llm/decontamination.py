@@ -157,7 +157,7 @@ def _hits_of_block(source: DataFrame, schema: str, block: list, shingle: int) ->
         index = ShingleIndex(shingles)
         for batch in batches:
             words, bounds = _words_of_batch(batch.column(batch.num_columns - 1).to_pylist())
-            hits: list[list[dict[str, int]]] = [[] for _ in range(batch.num_rows)]
+            hits: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
             held: list[set[str]] = [set() for _ in range(batch.num_rows)]
             for at, numbers in index.find(_hashes(words), bounds):
                 docs = np.searchsorted(bounds, at, side="right") - 1
@@ -167,14 +167,25 @@ def _hits_of_block(source: DataFrame, schema: str, block: list, shingle: int) ->
                         stop = start + len(wanted[k])
                         if start >= bounds[d] and stop <= bounds[d + 1] and words[start:stop] == wanted[k]:
                             first = int(bounds[d])
-                            hits[d].append({"start": start - first, "stop": stop - first})
+                            hits[d].append((start - first, stop - first))
                             held[d].update(items[k])
-            made = [pa.array(np.diff(bounds).astype(np.int64)), pa.array(hits, type=_HITS), pa.array([sorted(h) for h in held], type=pa.list_(pa.string()))]
+            made = [pa.array(np.diff(bounds).astype(np.int64)), pa.array([_merged(h) for h in hits], type=_HITS), pa.array([sorted(h) for h in held], type=pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*names, "n_words", "hits", "items"])
 
     return source.mapInArrow(run, schema)
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """Spans that overlap or touch as one."""
+    out: list[dict[str, int]] = []
+    for start, stop in sorted(spans):
+        if out and start <= out[-1]["stop"]:
+            out[-1]["stop"] = max(out[-1]["stop"], stop)
+        else:
+            out.append({"start": start, "stop": stop})
+    return out
+
+
 _HITS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
@@ -210,7 +221,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, keep: list[str] |
         merged = parts[0]
         for p in parts[1:]:
             merged = merged.unionByName(p)
-        grouped = merged.groupBy(*[f"`{c}`" for c in passed], "__hash", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count(F.lit(1)) / blocks).cast("int").alias("times"))
+        grouped = merged.groupBy(*[f"`{c}`" for c in passed], "__hash", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count(F.lit(1)) / blocks).cast("int").alias("times"))
         found = grouped.withColumn("__copy", F.explode(F.expr("sequence(1, times)"))).drop("__hash", "times", "__copy")
     found = found.withColumn("n_hit", _covered(F.col("hits"))).withColumn("items", F.array_sort("items")).withColumn("n_items", F.size("items").cast("long"))
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))

@@ -260,11 +260,13 @@ def test_secret_ownership(spark):
 
 def test_decontamination(spark, sf_dir, awkward):
     items = spark.createDataFrame([(1, PASSAGE), (2, "fox jumps"), (3, None), (4, "!!"), (5, PASSAGE), (5, PASSAGE), (None, "zzz hours"), (6, "other words follow here " * 5), (7, LONG), (8, "café")], "item_id long, text string")
-    for docs, bench in ((table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")), (awkward, items), (table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "benchmark"))):
+    whole = [(table(spark, d, "documents"), table(spark, d, "benchmark")) for d in (sf_dir, "/root/testdata/sf0.01")]
+    # a block of the second size makes three blocks or so
+    for (docs, bench), sizes in ((whole[0], (200_000, 300)), (whole[1], (200_000,)), ((awkward, items), (200_000, 25_000))):
         texts = rows(docs.select("doc_id", "text"))
         wanted = [(i, *c) for (i, _), c in zip(texts, brute.contamination(texts, rows(bench.select("item_id", "text"))), strict=True)]
-        for settings in ({}, {"block_windows": 300}):
-            found = decontamination.contamination(docs, bench, keep=["doc_id"], **settings)
+        for size in sizes:
+            found = decontamination.contamination(docs, bench, keep=["doc_id"], block_windows=size)
             same(rows(found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256), "contaminated")), wanted)
         clean = decontamination.drop_contaminated(docs, bench)
         assert clean.columns == docs.columns
