@@ -82,17 +82,16 @@ def feature_differences(catalogue: DataFrame, query: DataFrame, key: str, column
     return long_form(catalogue, [key], columns).join(F.broadcast(asked), "feature").select(key, "feature", F.abs(F.col("value") - F.col("__q")).alias("diff"))
 
 
-def _blocked(vectors: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Every row once as a query and once for each block of queries as a candidate.
+def _blocked(vectors: DataFrame, block_rows: int) -> DataFrame:
+    """Rows with (q, c, side): every row once as a query (side 0) against each block and once as a candidate (side 1) for each block of queries.
 
     Blocks have ``block_rows`` rows or so whatever the size, so a pair of blocks fits a task and the work is the product of two bounded sides.
     """
     blocks = max(1, -(-vectors.count() // block_rows))
-    dealt = vectors.withColumn("__block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    pairs = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = pairs.withColumnsRenamed({"__block": "q", "__other": "c"})
-    candidates = pairs.withColumnsRenamed({"__block": "c", "__other": "q"})
-    return queries, candidates
+    block, other = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.sequence(F.lit(0), F.lit(blocks - 1))
+    dealt = vectors.withColumn("__block", block).withColumn("__other", F.explode(other)).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+    first = F.col("side") == 0
+    return dealt.withColumns({"q": F.when(first, F.col("__block")).otherwise(F.col("__other")), "c": F.when(first, F.col("__other")).otherwise(F.col("__block"))}).drop("__block", "__other")
 
 
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
@@ -114,9 +113,8 @@ def nearest_neighbours(vectors: DataFrame, k: int, block_rows: int = 4096) -> Da
 
     Pairs of blocks keep k candidates a query; the second step merges them, so nothing of size n^2 is ever shuffled.
     """
-    queries, candidates = _blocked(vectors.select("id", "vec"), block_rows)
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def best(pair: pd.DataFrame) -> pd.DataFrame:
+        left, right = (pair[pair["side"] == k] for k in (0, 1))
         if not len(left) or not len(right):
             return pd.DataFrame({"id": [], "neighbour": [], "d2": []})
         a, b, ids, others = _matrix(left), _matrix(right), left.id.to_numpy(), right.id.to_numpy()
@@ -131,7 +129,7 @@ def nearest_neighbours(vectors: DataFrame, k: int, block_rows: int = 4096) -> Da
                 out.append((np.full(len(near), ids[i + r]), others[near], row[near]))
         return pd.DataFrame({"id": np.concatenate([o[0] for o in out]), "neighbour": np.concatenate([o[1] for o in out]), "d2": np.concatenate([o[2] for o in out])})
 
-    some = queries.groupBy("q", "c").cogroup(candidates.groupBy("q", "c")).applyInPandas(best, "id long, neighbour long, d2 double")
+    some = _blocked(vectors.select("id", "vec"), block_rows).groupBy("q", "c").applyInPandas(best, "id long, neighbour long, d2 double")
     order = Window.partitionBy("id").orderBy("d2", "neighbour")
     return some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "rank", "neighbour", "d2")
 
@@ -145,9 +143,8 @@ def precision_at_k(neighbours: DataFrame, labels: DataFrame, enough: int = 3) ->
 
 def label_distances(vectors: DataFrame, block_rows: int = 4096) -> DataFrame:
     """(id, label, other, total, n): sum of Euclidean distances of each row of (id, vec, label) to the rows of each label."""
-    queries, candidates = _blocked(vectors.select("id", "vec", "label"), block_rows)
-
-    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def sums(pair: pd.DataFrame) -> pd.DataFrame:
+        left, right = (pair[pair["side"] == k] for k in (0, 1))
         if not len(left) or not len(right):
             return pd.DataFrame({"id": [], "label": [], "other": [], "total": [], "n": []})
         a, b, out = _matrix(left), _matrix(right), []
@@ -159,7 +156,7 @@ def label_distances(vectors: DataFrame, block_rows: int = 4096) -> DataFrame:
             out.append(pd.DataFrame({"id": np.repeat(left.id.to_numpy()[i : i + rows], len(labels)), "label": np.repeat(left.label.to_numpy()[i : i + rows], len(labels)), "other": np.tile(labels, rows), "total": total.ravel(), "n": np.tile(member.sum(axis=0).astype(int), rows)}))
         return pd.concat(out)
 
-    each = queries.groupBy("q", "c").cogroup(candidates.groupBy("q", "c")).applyInPandas(sums, "id long, label int, other int, total double, n long")
+    each = _blocked(vectors.select("id", "vec", "label"), block_rows).groupBy("q", "c").applyInPandas(sums, "id long, label int, other int, total double, n long")
     return each.groupBy("id", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
