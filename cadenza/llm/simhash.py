@@ -25,10 +25,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import cut, small_batches
+from cadenza.llm.common import cut, small_batches, text_or_empty
 from cadenza.llm.components import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -56,17 +56,18 @@ def fingerprint(text: str, width: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, width: int = 3, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, fp) with the fingerprint as a signed 64-bit integer."""
+def fingerprints(documents: DataFrame, width: int = 3, key: str = "doc_id", text_col: str = "text", marks: tuple[Column, ...] = ()) -> DataFrame:
+    """(key, fp, marks) with the fingerprint as a signed 64-bit integer; ``marks`` are long columns passed through."""
     small_batches(documents.sparkSession)
-    source = documents.select(F.col(f"`{key}`").alias(key), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
+    source = documents.select(F.col(f"`{key}`").alias(key), text_or_empty(f"`{text_col}`").alias("__text"), *marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.array([fingerprint(x.as_py(), width) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], names=[key, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made), *batch.columns[2:]], names=[key, "fp", *names])
 
-    return source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, fp long")
+    names = source.columns[2:]
+    return source.mapInArrow(run, ", ".join([f"`{key}` {source.schema[0].dataType.simpleString()}", "fp long", *(f"`{c}` long" for c in names)]))
 
 
 def block_masks(blocks: int, distance: int) -> list[int]:
@@ -160,12 +161,23 @@ def near_duplicates(documents: DataFrame, distance: int = 3, blocks: int = 6, wi
 
 
 def drop_near_duplicates(documents: DataFrame, distance: int = 3, blocks: int = 6, width: int = 3, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``documents`` with one row of each component: its least key, and of rows that repeat a key one."""
-    found = cut(near_duplicates(documents, distance, blocks, width, key, text_col).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id")))
-    # what goes is fewer rows than what stays; a null key stays only where its whole component has none
-    lost = found.where(F.coalesce(F.col(key) != F.col("component_id"), F.col(key).isNull() & F.col("component_id").isNotNull()))
-    again = found.where(~F.coalesce(F.col(key) != F.col("component_id"), F.col(key).isNull() & F.col("component_id").isNotNull()) & (F.col("n") > 1))
-    gone = lost.select(F.col(key).alias("__key")).unionByName(again.select(F.col(key).alias("__key")))
-    once = documents.join(gone, documents[key].eqNullSafe(gone["__key"]), "left_anti")
-    few = documents.join(again.select(F.col(key).alias("__key")), documents[key].eqNullSafe(F.col("__key")), "left_semi")
-    return once.unionByName(few.dropDuplicates([key]))
+    """``documents`` with one row of each component: its least non-null key, then the least hash of the text, then the least row as JSON."""
+    # a key and 128 bits of its text tell rows apart, as a key may be null or repeat
+    text = text_or_empty(f"`{text_col}`")
+    marks = (F.xxhash64(text).alias("__a"), F.xxhash64(F.lit(1), text).alias("__b"))
+    rows = cut(fingerprints(documents, width, key, text_col, marks).groupBy("fp", key, "__a", "__b").agg(F.count(F.lit(1)).alias("n")))
+    row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__a").alias("a"), F.col("__b").alias("b"))
+    distinct = rows.groupBy("fp").agg(F.min(row).alias("least"))
+    roots = components(link_fingerprints(distinct, distance, blocks))
+    grouped = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("first")), "root").select("fp", "first")
+    judged = rows.join(linked, "fp").select(F.col(key).alias("__key"), F.col("__a").alias("__c"), F.col("__b").alias("__d"), row.eqNullSafe(F.col("first")).alias("stays"), "n")
+    # what goes is fewer rows than what stays
+    found = cut(judged.where("not stays or n > 1"))
+    here = documents.withColumns({"__a": marks[0], "__b": marks[1]})
+    same = F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.col("__a") == F.col("__c")) & (F.col("__b") == F.col("__d"))
+    once = here.join(found.select("__key", "__c", "__d"), same, "left_anti").drop("__a", "__b")
+    few = here.join(found.where("stays").select("__key", "__c", "__d"), same, "left_semi")
+    all_columns = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    one = few.groupBy(F.col(f"`{key}`").alias("__key"), "__a", "__b").agg(F.min_by(all_columns, F.to_json(all_columns)).alias("__row"))
+    return once.unionByName(one.select("__row.*"))

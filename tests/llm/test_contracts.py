@@ -182,6 +182,17 @@ def test_simhash(spark, sf_dir, awkward):
     assert simhash.near_duplicates(awkward.limit(0)).count() == 0
 
 
+def test_simhash_drops_rows_not_keys(spark):
+    text = lambda name: " ".join(f"{name}{j}" for j in range(200))
+    made = [
+        (None, text("p"), "x"), (None, text("q"), "x"), (None, text("r"), "x"), (None, text("r"), "w"), (None, text("s"), "x"), (7, text("s"), "x"),
+        (2, text("t"), "x"), (5, text("t"), "x"), (5, text("u"), "x"), (8, text("v"), "z"), (8, text("v"), "y"), (9, text("o"), "x"), (9, text("n"), "x"),
+    ]
+    wanted = [made[i] for i in (0, 1, 3, 5, 6, 8, 10, 11, 12)]
+    for rows_in, parts in ((made, 1), (made[::-1], 3)):
+        same(rows(simhash.drop_near_duplicates(spark.createDataFrame(rows_in, "doc_id long, text string, source string").repartition(parts))), wanted)
+
+
 def test_simhash_blocks():
     import itertools
     import random
