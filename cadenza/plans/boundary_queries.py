@@ -92,12 +92,12 @@ def pca_similar_V(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def best_k_V(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(cluster.best_k(vectors(spark, d), range(2, 7)), "silhouette")
+    return rounded(cluster.best_k(vectors(spark, d)), "silhouette")
 
 
 @query()
 def elbow_V(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(cluster.elbow(vectors(spark, d), range(1, 6)), "cost")
+    return rounded(cluster.elbow(vectors(spark, d), range(1, 11)), "cost")
 
 
 @query("SELECT CAST(i * 5 AS BIGINT) AS start, CAST(i * 5 + 5 AS BIGINT) AS \"end\" FROM range(20) r(i)")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import expr
 from cadenza.operators import classify, cluster, distance, features, ngrams, search, sequential, structure
 from cadenza.operators import timeline as t
+from cadenza.plans import QUERIES
 from cadenza.schema import FEATURES10
 
 T = ["track_id"]
@@ -309,3 +310,8 @@ def test_expressions(spark):
         expr.group_label(F.lit("/x/GroupA_tempo.mid")).alias("g"), expr.as_percent(F.lit(0.12345)).alias("c"), expr.bar_seconds(F.lit(None).cast("double"), F.lit(4)).alias("s"), expr.match_ratio(F.array(F.lit(1), F.lit(2)), F.array(F.lit(1))).alias("m"),
     ).first()
     assert (one.o, one.b, one.d, one.q, one.p, one.g, one.c, one.s, one.m) == ("C4", 1440, 384, 60.0, [1, 0, 0], "GroupA", "12.35%", 2.0, 0.5)
+
+
+def test_cluster_queries_try_all_k(spark, sf_dir):
+    assert sorted(r.k for r in QUERIES["best_k_V"](spark, sf_dir).collect()) == list(range(2, 11))
+    assert sorted(r.k for r in QUERIES["elbow_V"](spark, sf_dir).collect()) == list(range(1, 11))
