@@ -7,7 +7,9 @@ Line rules, in order; a line takes the first that fits it:
 * ``navigation``: at least ``nav_separators`` separators (``|``, ``»``, ``›``, ``•``, ``·``), one per two words or more;
 * ``boilerplate``: it holds one of the boilerplate phrases, in any case, and is shorter than ``boilerplate_chars``;
 * ``symbols``: at least three words, and over ``marked_share`` of them end in two or more of ``#*$%&!?<>|~^_=+``;
-* ``repetition``: at least ``repeat_words`` words, of which fewer than ``distinct_share`` are distinct;
+* ``repetition``: at least ``repeat_words`` words, of which fewer than ``distinct_share`` are distinct; a line of over
+  ``repeat_span`` words must also have fewer on average over runs of ``repeat_span`` words, or over ``max_repeat_percent``
+  of its words in windows that occur twice, as the distinct share of any text falls with its length;
 * ``punctuation``: over ``bare_words`` words with no ``.!?:;"')]}…”»。！？`` at the end of the line and fewer than one
   sentence mark (``.!?…。！？``) in every ``bare_words`` words, that is, running text without sentences;
 * ``repeated``: at least ``repeated_words`` words and equal to an earlier line.
@@ -56,6 +58,7 @@ class QualityRules:
     marked_share: float = 0.3
     repeat_words: int = 20
     distinct_share: float = 0.25
+    repeat_span: int = 100
     bare_words: int = 60
     repeated_words: int = 4
     keep_share: float = 0.5
@@ -103,6 +106,14 @@ def base_statistics(text: str, rules: QualityRules) -> tuple[int, int, int, int,
     return len(words), word_chars, symbols, len(lines) - len(set(lines)), repeated, failed
 
 
+def repeats_near_or_far(words: list[bytes], rules: QualityRules) -> bool:
+    """Whether few words are distinct within runs of ``repeat_span`` that cover the line, or whole windows come again."""
+    n, span = len(words), rules.repeat_span
+    if sum(len(set(words[i : i + span])) for i in range(0, n, span)) < rules.distinct_share * n:
+        return True
+    return 100 * int(repeat_mask(words, rules.window).sum()) > rules.max_repeat_percent * n
+
+
 def line_fault(line: str, earlier: bool, rules: QualityRules) -> str | None:
     """The rule that a line breaks; ``earlier``: an equal line came before."""
     words = line.encode().split()
@@ -116,7 +127,7 @@ def line_fault(line: str, earlier: bool, rules: QualityRules) -> str | None:
         return "boilerplate"
     if n >= 3 and sum(1 for w in words if _MARKED.search(w)) > rules.marked_share * n:
         return "symbols"
-    if n >= rules.repeat_words and len(set(words)) < rules.distinct_share * n:
+    if n >= rules.repeat_words and len(set(words)) < rules.distinct_share * n and repeats_near_or_far(words, rules):
         return "repetition"
     if n > rules.bare_words and not line.rstrip(_SPACE).endswith(_ENDS) and len(_SENTENCE.findall(line)) * rules.bare_words < n:
         return "punctuation"

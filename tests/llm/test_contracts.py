@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -92,6 +93,17 @@ def test_quality_lines():
     assert quality_rules.judge("\n".join(["Home | About | Contact | Help"] * 9 + ["One sentence."]), rules)[6] is False
 
 
+def test_repetition_does_not_depend_on_length():
+    rules = quality_rules.QualityRules()
+    rng = random.Random(3)
+    prose = " ".join(rng.choices([f"w{i}" for i in range(2_000)], [1 / (i + 5) for i in range(2_000)], k=20_000)) + "."
+    assert len(set(prose.split())) < rules.distinct_share * 20_000
+    assert quality_rules.line_fault(prose, False, rules) is None
+    phrase = " ".join(f"x{i}" for i in range(70))
+    for junk in ("spam " * 1_000, "buy now " * 5_000, f"{phrase} " * 50):
+        assert quality_rules.line_fault(junk, False, rules) == "repetition"
+
+
 def test_quality_agrees_with_labels(spark):
     d = "/root/testdata/sf0.01"
     found = quality_rules.clean_documents(table(spark, d, "documents"), with_text=False, keep=["doc_id"]).join(table(spark, d, "labels"), "doc_id").toPandas()
