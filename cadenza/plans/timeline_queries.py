@@ -298,4 +298,4 @@ def structure_E(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def close_bars_L(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(distance.close_bars(t.bars(_lines(spark, d), BAR_L), 0.02), "similarity")
+    return rounded(distance.close_bars(t.bars(_lines(spark, d), BAR_L)), "similarity")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import expr
 from cadenza.operators import classify, cluster, distance, features, ngrams, search, sequential, structure
 from cadenza.operators import timeline as t
-from cadenza.plans import QUERIES
+from cadenza.plans import QUERIES, timeline_queries
 from cadenza.schema import FEATURES10
 
 T = ["track_id"]
@@ -315,3 +315,10 @@ def test_expressions(spark):
 def test_cluster_queries_try_all_k(spark, sf_dir):
     assert sorted(r.k for r in QUERIES["best_k_V"](spark, sf_dir).collect()) == list(range(2, 11))
     assert sorted(r.k for r in QUERIES["elbow_V"](spark, sf_dir).collect()) == list(range(1, 11))
+
+
+def test_close_bars_query_has_all_similar_pairs(spark, sf_dir):
+    every = distance.close_bars(timeline_queries.t.bars(timeline_queries._lines(spark, sf_dir), timeline_queries.BAR_L), 2.0)
+    wanted = every.where("similarity > 0.1").count()
+    found = QUERIES["close_bars_L"](spark, sf_dir)
+    assert found.count() == wanted > every.where("similarity > 0.98").count()
