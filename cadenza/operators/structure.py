@@ -1,7 +1,7 @@
 """Structural segmentation from structure features: embed, recur, lag, smooth, and pick peaks of the novelty curve.
 
 After Serra, Mueller, Grosche and Arcos, "Unsupervised Detection of Music Boundaries by Time Series Structure Features" (AAAI 2012).
-One track is one NumPy computation; its matrices have (frames)^2 cells, so ``max_frames`` sets the frame length of long tracks.
+One track is one NumPy computation; its matrices have (frames)^2 cells, of which ``cells`` or so are held at a time, so time grows with the square of a track but memory does not.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ GROUP = ["file_id", "track_id"]
 
 @dataclass(frozen=True)
 class StructureConfig:
-    """Smoothing width, embedding length, neighbours per frame, peak window, offset of the threshold, normalisation."""
+    """Smoothing width, embedding length, neighbours per frame, peak window, offset of the threshold, normalisation, matrix cells held at a time."""
 
     gaussian: int = 27
     embedded: int = 3
@@ -28,7 +28,7 @@ class StructureConfig:
     peak_window: int = 28
     offset: float = 0.05
     norm: str | None = "inf"
-    max_frames: int = 2000
+    cells: int = 4_000_000
 
 
 def normalise(x: np.ndarray, norm: str | None) -> np.ndarray:
@@ -130,25 +130,51 @@ def diagonal_novelty(ssm: np.ndarray, half: int = 3) -> np.ndarray:
     return np.array([(padded[i : i + 2 * half, i : i + 2 * half] * kernel).sum() for i in range(n)]) / (2 * half) ** 2
 
 
+def striped_novelty(x: np.ndarray, config: StructureConfig) -> np.ndarray:
+    """``novelty(gaussian_smooth(time_lag(recurrence(x))))`` by stripes of rows; the same whatever their height, as distances are summed in one order."""
+    n = len(x)
+    rows = max(32, min(n, config.cells // n))
+    half = max(1, config.gaussian // 2)
+    kernel = np.exp(-0.5 * (np.arange(-half, half + 1) / (config.gaussian / 6 or 1)) ** 2)
+    at = min(max(1, int(np.ceil(config.nearest * n))), n - 1)
+
+    def squared(a: int, b: int) -> np.ndarray:
+        out = np.zeros((b - a, n))
+        for column in x.T:
+            out += (column[a:b, None] - column[None, :]) ** 2
+        return out
+
+    reach = np.concatenate([np.partition(squared(a, min(a + rows, n)), at, axis=1)[:, at] for a in range(0, n, rows)])
+    curve = np.zeros(n)
+    for a in range(0, n, rows):
+        b, first = min(a + rows, n), max(a - 1, 0)
+        low, high = max(first - half, 0), min(b + half, n)
+        near = squared(low, high) <= np.minimum(reach[low:high, None], reach[None, :])
+        i = np.arange(low, high)
+        lagged = near[i[:, None] - low, (i[:, None] + np.arange(n)[None, :]) % n].astype(float)
+        smooth = sum(w * lagged[np.clip(np.arange(first, b) + k - half, 0, n - 1) - low] for k, w in enumerate(kernel / kernel.sum()))
+        curve[first + 1 : b] = (np.diff(smooth, axis=0) ** 2).sum(axis=1)
+    return curve / curve.max() if curve.max() > 0 else curve
+
+
 def boundaries(features: np.ndarray, config: StructureConfig) -> np.ndarray:
     """Frames at which a new section begins."""
     if len(features) < 3:
         return np.zeros(0, dtype=int)
     x = embed(normalise(features, config.norm), config.embedded)
-    return peaks(novelty(gaussian_smooth(time_lag(recurrence(x, config.nearest)), config.gaussian)), config.peak_window, config.offset)
+    return peaks(striped_novelty(x, config), config.peak_window, config.offset)
 
 
 def structure_segments(notes: DataFrame, frame: float, config: StructureConfig | None = None, group: list[str] = GROUP) -> DataFrame:
-    """(group, segment_id, start, end): sections of each track, ``frame`` long frames or longer ones on long tracks."""
+    """(group, segment_id, start, end): sections of each track, in frames of ``frame`` however long it is."""
     config = config or StructureConfig()
 
     def run(pdf: pd.DataFrame) -> Iterator[tuple]:
         start, end, pitch = (pdf[c].to_numpy(dtype=float) for c in ("start", "end", "pitch"))
         origin, length = start.min(), end.max() - start.min()
-        size = max(frame, length / config.max_frames)
-        count = max(1, int(np.ceil(length / size)))
-        cuts = boundaries(chroma(start - origin, end - origin, pitch, size, count), config)
-        marks = [origin, *(origin + cuts * size), max(end.max(), origin)]
+        count = max(1, int(np.ceil(length / frame)))
+        cuts = boundaries(chroma(start - origin, end - origin, pitch, frame, count), config)
+        marks = [origin, *(origin + cuts * frame), max(end.max(), origin)]
         for k, (a, b) in enumerate(zip(marks, marks[1:], strict=False)):
             yield k, float(a), float(b)
 

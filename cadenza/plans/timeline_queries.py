@@ -293,7 +293,7 @@ def cluster_similarity_E(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def structure_E(spark: SparkSession, d: str) -> DataFrame:
-    return structure.structure_segments(_notes(spark, d), BAR_E / 4, structure.StructureConfig(max_frames=400), TRACK)
+    return structure.structure_segments(_notes(spark, d), BAR_E / 4, group=TRACK)
 
 
 @query()

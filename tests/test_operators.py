@@ -258,6 +258,20 @@ def test_structure(spark):
         assert np.isfinite(structure.normalise(np.array([[0.0, 0.0], [1.0, 3.0]]), norm)).all()
 
 
+def test_structure_keeps_the_frame_of_long_tracks(spark):
+    rng = np.random.default_rng(8)
+    parts = [rng.integers(48, 84, 16) for _ in range(5)]
+    rows = [(int(p), float(i), 1.0) for i, p in enumerate(p for k in (0, 1, 0, 2, 3, 1, 4, 0) for _ in range(20) for p in parts[k])]
+    found = structure.structure_segments(notes(spark, rows), 1.0, structure.StructureConfig(), T).collect()
+    assert len(rows) == 2560 and len(found) > 4 and all(r.start == int(r.start) for r in found)
+    x = structure.embed(rng.random((300, 12)).round(1), 3)
+    c = structure.StructureConfig()
+    whole = structure.striped_novelty(x, c)
+    assert (structure.striped_novelty(x, structure.StructureConfig(cells=1)) == whole).all()
+    plain = structure.novelty(structure.gaussian_smooth(structure.time_lag(structure.recurrence(np.round(x * 10), c.nearest)), c.gaussian))
+    assert np.allclose(structure.striped_novelty(np.round(x * 10), c), plain)
+
+
 def test_clusters(spark):
     rng = np.random.default_rng(4)
     x = np.vstack([rng.normal(c, 0.1, (20, 2)) for c in (0, 5, 10)])
