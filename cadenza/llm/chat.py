@@ -8,8 +8,8 @@ Defined cases: a null role or text is the empty string; rows with a null ``conv_
 by turn (null last), then role, then text, and repeated rows are turns of their own; a turn that the machine does not
 allow is formatted like any other and marked in ``fault``; an empty table gives no rows; further columns are ignored.
 
-A conversation is never gathered: rows stream through in order with the machine's state and one turn in memory, so a
-conversation of any length needs the memory of its longest turn.  (Its digest is sequential, hence one task's work.)
+A conversation is never gathered: rows stream through in order.  In memory are the machine's state, one Arrow batch (which Spark bounds by
+bytes, or to one row), 256 of its turns as Python objects, and the turn being read, whatever the length of a conversation.  (Its digest is sequential, hence one task's work.)
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.common import pieces
+
 START = "start"
 
 
@@ -119,7 +121,7 @@ def format_chat(conversations: DataFrame, template: ChatTemplate | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state, turn_no = object(), START, 0
-        for batch in batches:
+        for batch in pieces(batches):
             out: dict[str, list] = {k: [] for k in ("conv_id", "turn_no", "role", "segment", "text", "loss", "state", "fault")}
             ids, roles, texts = (batch.column(k).to_pylist() for k in ("conv_id", "role", "text"))
             for conv, role, text in zip(ids, roles, texts, strict=True):
@@ -163,7 +165,7 @@ def read_back(segments: DataFrame, template: ChatTemplate | None = None) -> Data
             values = (current, n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, ok, first_fault or (None if ok else f"ends after {state}"))
             return dict(zip(_DIGEST_ARROW.names, values, strict=True))
 
-        for batch in batches:
+        for batch in pieces(batches):
             done = []
             for r in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "text", "loss", "state", "fault")), strict=True):
                 conv, text, masked, r_state, fault = r

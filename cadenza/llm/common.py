@@ -1,9 +1,11 @@
-"""Helpers shared by the corpus operators: table access, lineage cuts and row identity."""
+"""Helpers shared by the corpus operators: table access, lineage cuts, row identity and bounded pieces of batches."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,14 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a session whose executors are this very machine (``local[...]``) gets a temporary folder; on a cluster none would do, so that is an error.
+    """
     context = spark.sparkContext
-    known = context.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if known is None:
+    if context.getCheckpointDir() is None:
+        if not configured and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="cadenza-checkpoint-"))
-        known = context.getCheckpointDir()
-    return configured or known
+    return configured or context.getCheckpointDir()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables, wherever Spark keeps it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -33,11 +44,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches that hold whole texts; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Views of at most ``rows`` rows: Spark bounds a batch by bytes, and this what is turned into Python objects at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def row_identity(df: DataFrame, columns: list[str] | None = None) -> tuple[Column, Column]:
+    """128 bits that tell rows of different content apart, as two long columns; the same in every run, so rows can be matched again after a lost task."""
+    def plain(name: str, kind: str) -> Column:
+        # maps and variants have no hash of their own
+        return F.to_json(F.struct(F.col(f"`{name}`"))) if "map<" in kind or "variant" in kind else F.col(f"`{name}`")
+
+    each = [x for n, t in df.dtypes if columns is None or n in columns for x in (F.col(f"`{n}`").isNull(), plain(n, t))]
+    return F.xxhash64(F.lit(0), *each), F.xxhash64(F.lit(1), *each)
 
 
 def text_or_empty(column: Column | str) -> Column:

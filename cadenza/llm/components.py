@@ -26,15 +26,19 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
-def components(links: DataFrame, limit: int = 60) -> DataFrame:
-    """(node, root) for every node of ``links`` (a, b), with the least node of its component; empty for no links."""
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``links`` (a, b), with the least node of its component; empty for no links.
+
+    Every round is cut from its lineage, and the rounds go on until a whole one changes nothing, which each of them brings nearer.
+    """
     now = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    mark = None
-    for _ in range(limit):
-        after = cut(_star(_star(now, True), False))
-        found = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        now = after
-        if tuple(found) == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        mark = tuple(found)
-    raise RuntimeError(f"components did not settle in {limit} steps")
+    mark, found = None, _mark(now)
+    while found != mark:
+        now, mark = cut(_star(_star(now, True), False)), found
+        found = _mark(now)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _mark(links: DataFrame) -> tuple:
+    """Equal for equal sets of links."""
+    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import small_batches
+from cadenza.llm.common import pieces
 
 SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\r\x0b\x0c"
@@ -161,7 +161,6 @@ _NAMES = [x.split(" ")[0] for x in re.sub(r"<[^>]*>", "", _FIELDS).split(", ")]
 def clean_documents(documents: DataFrame, rules: QualityRules | None = None, text_col: str = "text", with_text: bool = True, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (all columns by default) with the statistics, the verdict and, ``with_text``, ``clean_text``."""
     rules = rules or QualityRules()
-    small_batches(documents.sparkSession)
     outputs = [*_NAMES, *(["clean_text"] if with_text else [])]
     taken = {x.lower() for x in outputs} | {"__text"}
     passed = [c for c in (documents.columns if keep is None else keep) if c.lower() not in taken]
@@ -169,7 +168,7 @@ def clean_documents(documents: DataFrame, rules: QualityRules | None = None, tex
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), _FIELDS, *(["clean_text string"] if with_text else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [judge(x, rules) for x in batch.column(batch.num_columns - 1).to_pylist()]
             made = [pa.array([list(r[k].items()) if k == 8 else r[k] for r in found], type=t) for k, t in enumerate(_TYPES)]
             if with_text:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import cut, small_batches, text_or_empty
+from cadenza.llm.common import cut, pieces, text_or_empty
 from cadenza.llm.components import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -58,11 +58,10 @@ def fingerprint(text: str, width: int = 3) -> int:
 
 def fingerprints(documents: DataFrame, width: int = 3, key: str = "doc_id", text_col: str = "text", marks: tuple[Column, ...] = ()) -> DataFrame:
     """(key, fp, marks) with the fingerprint as a signed 64-bit integer; ``marks`` are long columns passed through."""
-    small_batches(documents.sparkSession)
     source = documents.select(F.col(f"`{key}`").alias(key), text_or_empty(f"`{text_col}`").alias("__text"), *marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             made = np.array([fingerprint(x.as_py(), width) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made), *batch.columns[2:]], names=[key, "fp", *names])
 
