@@ -8,8 +8,9 @@ an old node changes and the new shard takes rows only into itself.
 
 Nodes are named by position, and a draw costs one md5 per child on the way down, 9 for 3 x 2 x 4 shards, not one per shard.
 
-Slots: rows of a shard are dealt to ``buckets`` hash buckets; counts per bucket, at most shards x buckets rows whatever the
-input, give each bucket its first slot, and rows are numbered within their bucket.  No task holds more than a bucket.
+Slots: rows that agree in all that is kept of them are counted first, with a combining group-by, so a row that is there a million times is one; what
+is left is dealt to ``buckets`` hash buckets of its shard by its whole content, so rows that share or lack a key spread.  Counts per bucket, at most shards x
+buckets rows whatever the input, give each bucket its first slot, and rows are numbered within their bucket.  No task holds more than a bucket.
 
 Defined cases: a null key hashes as the text ``null``; null text has no bytes and crc32 0; equal keys share a shard, repeated rows get
 slots of their own; an empty table gives no rows; shards of weight 0 get no rows.  Columns of the input that clash are replaced.
@@ -83,21 +84,29 @@ def assign_shard(df: DataFrame, tree: Tree, key: str, out: str = "shard") -> Dat
     return df.withColumn(out, per("__rack", leaves).cast("int")).drop("__region", "__rack")
 
 
-def add_slots(df: DataFrame, key: str, shard: str = "shard", slot: str = "slot", order: list[str] | None = None, buckets: int = 1024) -> DataFrame:
-    """``df`` with a gapless number from 0 within each shard."""
-    df = df.withColumn("__bucket", F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(buckets)).cast("int"))
-    counts = df.groupBy(shard, "__bucket").agg(F.count(F.lit(1)).alias("n"))
+def count_rows(df: DataFrame, count: str = "__n") -> DataFrame:
+    """The distinct rows of ``df`` and how often each is there."""
+    return df.groupBy(*[f"`{c}`" for c in df.columns]).agg(F.count(F.lit(1)).alias(count))
+
+
+def add_slots(counted: DataFrame, shard: str = "shard", slot: str = "slot", count: str = "__n", buckets: int = 1024) -> DataFrame:
+    """The rows that ``count_rows`` counted, each as often as it was there, with a gapless number from 0 within each shard; columns are small and can be sorted."""
+    columns = [f"`{c}`" for c in counted.columns if c != count]
+    # dealt once, for the sums and for the numbers
+    dealt = counted.withColumn("__bucket", F.pmod(F.xxhash64(*[c for c in columns if c != f"`{shard}`"]), F.lit(buckets)).cast("int")).repartition(shard, "__bucket")
+    sums = dealt.groupBy(shard, "__bucket").agg(F.sum(count).alias("n"))
     before = Window.partitionBy(shard).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     # shards x buckets rows at most, by construction
-    firsts = F.broadcast(counts.select(shard, "__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first")))
-    within = Window.partitionBy(shard, "__bucket").orderBy(F.col(f"`{key}`"), *(order or []))
-    return df.withColumn("__at", F.row_number().over(within)).join(firsts, [shard, "__bucket"]).withColumn(slot, F.col("__first") + F.col("__at") - 1).drop("__bucket", "__at", "__first")
+    firsts = F.broadcast(sums.select(shard, "__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first")))
+    within = Window.partitionBy(shard, "__bucket").orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("__before", F.coalesce(F.sum(count).over(within), F.lit(0))).join(firsts, [shard, "__bucket"])
+    return placed.select(*columns, F.explode(F.expr(f"sequence(__first + __before, __first + __before + `{count}` - 1)")).alias(slot))
 
 
 def shard_documents(documents: DataFrame, tree: Tree | None = None, key: str = "doc_id", text_col: str = "text", buckets: int = 1024) -> DataFrame:
     """(key, size, text_crc32, law, shard, slot, grown_shard); texts are read once and never shuffled."""
     tree = tree or Tree.even()
     data = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = documents.select(F.col(f"`{key}`"), (F.octet_length(data) + F.lit(8)).cast("long").alias("size"), F.crc32(F.encode(data, "UTF-8")).alias("text_crc32"))
-    rows = assign_shard(assign_shard(rows, tree, key), tree.grown(), key, "grown_shard")
-    return add_slots(rows, key, order=["size", "text_crc32"], buckets=buckets).select(f"`{key}`", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    rows = count_rows(documents.select(F.col(f"`{key}`"), (F.octet_length(data) + F.lit(8)).cast("long").alias("size"), F.crc32(F.encode(data, "UTF-8")).alias("text_crc32")))
+    numbered = add_slots(assign_shard(rows, tree, key), buckets=buckets)
+    return assign_shard(numbered, tree.grown(), key, "grown_shard").select(f"`{key}`", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
