@@ -6,6 +6,7 @@ op4 needs CRC-32 and op5 XXH64, which the dialect lacks, and op6 learns; tests h
 from __future__ import annotations
 
 from cadenza.llm.chat import ChatTemplate
+from cadenza.llm.mixing import SCHEDULES, stretches
 from cadenza.llm.quality_rules import _ENDS, BOILERPLATE, QualityRules
 from cadenza.llm.queries import URL_RULES
 from cadenza.llm.secrets import BROAD, KINDS
@@ -69,7 +70,7 @@ def _secrets() -> str:
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)
     return f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text FROM documents), a AS ({one}),
   s AS (SELECT *, CAST(sum(length(m) + length(g)) OVER (PARTITION BY row, kind ORDER BY j) AS BIGINT) AS stop FROM a), f AS (SELECT row, rank, kind, val, stop - length(m) AS start, stop FROM s WHERE length(val) >= {least}),
-  o AS (SELECT val, CASE WHEN count(DISTINCT coalesce(source, chr(0))) >= 3 THEN 'example' ELSE 'live' END AS verdict FROM f JOIN d USING (row) GROUP BY val), h AS (SELECT f.*, verdict FROM f JOIN o USING (val)),
+  o AS (SELECT val, CASE WHEN count(DISTINCT coalesce(source, chr(0))) >= 3 OR (count(DISTINCT coalesce(source, chr(0))) >= 2 AND count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) >= 10) THEN 'example' ELSE 'live' END AS verdict FROM f JOIN d USING (row) GROUP BY val), h AS (SELECT f.*, verdict FROM f JOIN o USING (val)),
   r AS (SELECT row, {counts}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (kind IN ({base})) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (kind IN ({base}) OR verdict = 'live') AS spans, count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example FROM h GROUP BY row)
   SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN r USING (row)"""
 
@@ -83,13 +84,24 @@ def _contamination() -> str:
 
 
 def _mix() -> str:
-    return f"""WITH z AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_q(_WORD)})) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM z GROUP BY source),
-  k AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank, CAST(source_size * 2 AS DOUBLE) AS most, sum(source_size) OVER () AS everything FROM s), w AS (SELECT *, [5, 2, 1][rank % 3 + 1]::DOUBLE AS weight, [-0.5, 0, 0.5][rank % 3 + 1]::DOUBLE AS slope FROM k),
+    time, drawn = "CASE", []
+    for k, schedule in enumerate(SCHEDULES):
+        inner = integral = ""
+        for t, passed, f, slope in reversed(stretches(schedule)):
+            rest = f"greatest(share - {passed}::DOUBLE, 0)"
+            inner += f" WHEN share >= {passed}::DOUBLE THEN {t}::DOUBLE + CASE WHEN {rest} > 0 THEN 2 * {rest} / ({f}::DOUBLE + sqrt(greatest({f * f}::DOUBLE + {2 * slope}::DOUBLE * {rest}, 0))) ELSE 0 END"
+            integral += f" WHEN time >= {t}::DOUBLE THEN {passed}::DOUBLE + (time - {t}::DOUBLE) * ({f}::DOUBLE + {slope / 2}::DOUBLE * (time - {t}::DOUBLE))"
+        time += f" WHEN rank % {len(SCHEDULES)} = {k} THEN least(1, CASE{inner} END)"
+        drawn.append(f"t{k} * CASE{integral} END")
+    classes = ", ".join(f"coalesce(sum(target) FILTER (rank % {len(SCHEDULES)} = {k}), 0) AS t{k}" for k in range(len(SCHEDULES)))
+    return f"""WITH z AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_q(_WORD)})) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS h FROM documents), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM z GROUP BY source),
+  k AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank, CAST(source_size * 2 AS DOUBLE) AS most, sum(source_size) OVER () AS everything FROM s), w AS (SELECT *, [5, 2, 1][rank % 3 + 1]::DOUBLE AS weight FROM k),
   v AS (SELECT *, (1.5::DOUBLE * everything - coalesce(sum(most) OVER (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY most / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
   x AS (SELECT *, (SELECT arg_min(level, (most / weight, rank)) FROM v WHERE most > level * weight) AS found FROM v), t AS (SELECT *, CASE WHEN found IS NULL THEN most ELSE least(most, found * weight) END AS target FROM x),
-  o AS (SELECT z.doc_id, z.size, t.source_size, t.target, t.slope, CAST(sum(z.size) OVER (PARTITION BY z.source ORDER BY h, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) - z.size AS BIGINT) AS off, CAST(floor(target) AS BIGINT) AS total FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source),
-  p AS (SELECT *, CASE WHEN source_size > 0 THEN total // source_size ELSE 0 END AS passes, CASE WHEN target > 0 THEN least(1, off / target) ELSE 1 END AS share FROM o), q AS (SELECT *, passes * size + greatest(0, least(size, total - passes * source_size - off)) AS taken FROM p)
-  SELECT doc_id, size, source_size, round(target, 6) AS target, taken, CAST(CASE WHEN size > 0 THEN (2 * taken + size) // (2 * size) ELSE 0 END AS INT) AS copies, round(least(1, 2 * share / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * share))), 9) AS position FROM q"""
+  o AS (SELECT z.doc_id, z.size, t.source_size, t.target, t.rank, CAST(sum(z.size) OVER (PARTITION BY z.source ORDER BY h, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) - z.size AS BIGINT) AS off, CAST(floor(target) AS BIGINT) AS total FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source),
+  p AS (SELECT *, CASE WHEN source_size > 0 THEN total // source_size ELSE 0 END AS passes, CASE WHEN target > 0 THEN least(1, off / target) ELSE 1 END AS share FROM o), q AS (SELECT *, passes * size + greatest(0, least(size, total - passes * source_size - off)) AS taken, {time} END AS time FROM p),
+  c AS (SELECT {classes}, sum(target) AS whole FROM t)
+  SELECT doc_id, size, source_size, round(target, 6) AS target, taken, CAST(CASE WHEN size > 0 THEN (2 * taken + size) // (2 * size) ELSE 0 END AS INT) AS copies, round(CASE WHEN whole > 0 THEN least(1, ({' + '.join(drawn)}) / whole) ELSE 1 END, 9) AS position FROM q, c"""
 
 
 def _warc() -> str:
