@@ -4,34 +4,38 @@ Words are maximal runs of letters and digits (ASCII, lower-cased) and of anythin
 consecutive words of an item (the whole item if shorter); its tokens are its shingles of ``shingle`` words.  Containing a window
 means containing all its shingles, so the prefix that a document must share is one shingle, and the rarest one is the cheapest: shingles
 are ordered by their number of occurrences in all documents.  Where a document has a window's prefix shingle, the shingle's
-offset fixes the window's only possible place; it must fit within the document (length and positional bounds), and then the words
+offset fixes the window's only possible place; it must fit within the document (positional and length bounds), and then the words
 are compared.  Every document word inside an occurrence is hit.
 
-Scale: documents are read twice (occurrences, then matches) and never shuffled.  Windows are taken in blocks of ``block_windows``,
-the bound on what is sent to executors at once; more windows mean more blocks, whose hits are merged per document.
+One plan for any number of items: windows, their shingles with counts, and the prefixes are tables, joined by the shingle's hash.  What is sent to
+executors is only a filter, a table of bits (two per shingle, ``filter_bits`` at most, 128 MB by default); a fuller filter lets more words through to
+the join, which decides.  Documents are read twice, to count shingles and to find places, whatever the number of windows, and their texts
+never move: a place that passes goes on with the words round it.  Places are keyed by 128 bits of their text, and repeated ones combine before the
+shuffle, so a text that a third of the documents share is looked up once per task; hot prefixes are split by adaptive execution.
 
 Defined cases: null or wordless texts have no words and are not contaminated; items without words are in no window, repeated
 items count once, an item without an id hits but is not listed; repeated documents are judged each; a null key is kept; an
-empty benchmark hits nothing; an empty document table gives no rows; clashing columns of the input are replaced.
+empty benchmark hits nothing; an empty document table gives no rows; clashing columns of the input are replaced, and kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import small_batches
+from cadenza.llm.common import cut, pieces, row_identity
 
 #: ASCII but letters and digits separates words; A-Z become a-z.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Bits of the table that sorts out most positions before the exact look-up.
-_BITS = 20
+#: The same words, as a pattern of raw text.
+WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_LEAST_BITS = 20
 
 
 def words_of(text: str) -> list[bytes]:
@@ -39,154 +43,163 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_TABLE).split()
 
 
-def windows_of(text: str, width: int) -> list[bytes]:
-    """The windows of an item, each with single spaces."""
-    words = words_of(text)
-    return [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+class WordHashes(dict):
+    """word -> XXH64, the same in every process; the commonest words of a task are hashed once."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = made = xxhash.xxh64_intdigest(word)
+        return made
 
-def item_windows(benchmark: DataFrame, width: int, key: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(window, items): distinct windows with the ids, as text, of the items that hold them."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i, w.decode()) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in windows_of(t, width)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["item", "window"])
-
-    texts = benchmark.select(F.col(f"`{key}`").cast("string").alias("item"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "item string, window string").groupBy("window").agg(F.collect_set("item").alias("items"))
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """The hashes of many words."""
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    """Per-process hashes: built and looked up in the same worker."""
-    return np.fromiter(map(hash, words), dtype=np.int64, count=len(words)).view(np.uint64)
-
-
-def _runs(ids: np.ndarray, size: int) -> np.ndarray:
+def shingle_hashes(ids: np.ndarray, size: int) -> np.ndarray:
     """A hash for every run of ``size`` words."""
     n = max(0, len(ids) - size + 1)
-    key = np.zeros(n, dtype=np.uint64)
+    key = np.full(n, size, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(size):
             key *= _A
             key += ids[k : k + n]
-        key ^= key >> np.uint64(29)
+            key ^= key >> np.uint64(29)
         key *= _B
+        key ^= key >> np.uint64(32)
     return key
 
 
-class ShingleIndex:
-    """Finds given shingles, of several sizes, among the words of many documents at once."""
-
-    def __init__(self, shingles: list[tuple[bytes, ...]]) -> None:
-        self.sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for size in {len(s) for s in shingles}:
-            numbers = np.array([i for i, s in enumerate(shingles) if len(s) == size])
-            flat = _hashes([w for s in shingles if len(s) == size for w in s])
-            keys = np.array([_runs(flat[k * size : (k + 1) * size], size)[0] for k in range(len(numbers))], dtype=np.uint64)
-            order = np.argsort(keys, kind="stable")
-            table = np.zeros(1 << _BITS, dtype=bool)
-            table[keys >> np.uint64(64 - _BITS)] = True
-            self.sizes[size] = (keys[order], numbers[order], table)
-
-    def find(self, ids: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(position, shingle number) of each occurrence inside one document; ``bounds``: first words of documents, then the end."""
-        for size, (keys, numbers, table) in self.sizes.items():
-            runs = _runs(ids, size)
-            at = np.flatnonzero(table[runs >> np.uint64(64 - _BITS)])
-            place = np.searchsorted(keys, runs[at])
-            place[place == len(keys)] = 0
-            same = keys[place] == runs[at]
-            at, place = at[same], place[same]
-            inside = at + size <= bounds[np.searchsorted(bounds, at, side="right")]
-            yield at[inside], numbers[place[inside]]
-
-
-def _words_of_batch(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
-    words: list[bytes] = []
-    bounds = [0]
-    for t in texts:
-        words += words_of(t)
-        bounds.append(len(words))
-    return words, np.array(bounds)
-
-
-def _occurrences(texts: DataFrame, shingles: list[tuple[bytes, ...]]) -> dict[int, int]:
-    """How often each shingle is in the documents; as many numbers as a block has shingles."""
-    shared = texts.sparkSession.sparkContext.broadcast(shingles)
+def item_windows(benchmark: DataFrame, width: int, shingle: int, key: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(window, n, size, shingles, items): distinct windows of ``n`` words with the hashes of their shingles of ``size`` words and the ids, as text, of the items that hold them."""
+    schema = pa.schema([("item", pa.string()), ("window", pa.string()), ("n", pa.int32()), ("size", pa.int32()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ShingleIndex(shared.value)
-        total = np.zeros(len(shared.value), dtype=np.int64)
-        for batch in batches:
-            words, bounds = _words_of_batch(batch.column(0).to_pylist())
-            for _, numbers in index.find(_hashes(words), bounds):
-                total += np.bincount(numbers, minlength=len(total))
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(total[found])], names=["shingle", "n"])
-
-    return {r.shingle: r.n for r in texts.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).toLocalIterator()}
-
-
-def _prefixes(windows: list[tuple[bytes, ...]], texts: DataFrame, shingle: int) -> tuple[list[tuple[bytes, ...]], list[list[tuple[int, int]]]]:
-    """Prefix shingles, and for each the (window, offset) pairs that it stands for."""
-    def parts(w: tuple[bytes, ...]) -> list[tuple[bytes, ...]]:
-        size = min(shingle, len(w))
-        return [w[i : i + size] for i in range(len(w) - size + 1)]
-
-    shingles = sorted({s for w in windows for s in parts(w)})
-    number = {s: i for i, s in enumerate(shingles)}
-    often = _occurrences(texts, shingles)
-    prefixes: dict[int, list[tuple[int, int]]] = {}
-    for k, w in enumerate(windows):
-        n, offset = min(((often.get(number[s], 0), number[s]), i) for i, s in enumerate(parts(w)))
-        prefixes.setdefault(n[1], []).append((k, offset))
-    # a shingle that no document has matches nothing
-    present = [n for n in prefixes if often.get(n, 0)]
-    return [shingles[n] for n in present], [prefixes[n] for n in present]
-
-
-def _hits_of_block(source: DataFrame, schema: str, block: list, shingle: int) -> DataFrame:
-    """``source`` with its text, the last column, replaced by n_words, hits and items."""
-    windows = [tuple(r.window.encode().split(b" ")) for r in block]
-    prefixes, places = _prefixes(windows, source.select("__text"), shingle)
-    shared = source.sparkSession.sparkContext.broadcast((prefixes, places, [list(w) for w in windows], [r["items"] for r in block]))
-    names = source.columns[:-1]
+        hashes = WordHashes()
+        for batch in pieces(batches):
+            rows = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if words := words_of(text):
+                    n = min(width, len(words))
+                    size = min(shingle, n)
+                    marks = shingle_hashes(hashes.of(words), size).view(np.int64).tolist()
+                    rows += [(item, b" ".join(words[i : i + n]).decode(), n, size, marks[i : i + n - size + 1]) for i in range(len(words) - n + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+
+    texts = benchmark.select(F.col(f"`{key}`").cast("string").alias("item"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    made = texts.mapInArrow(run, "item string, window string, n int, size int, shingles array<long>")
+    return made.groupBy("window", "n", "size", "shingles").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+class ShingleFilter:
+    """Which hashes may be among those that it was made of; each sets two bits."""
+
+    def __init__(self, bits: int, table: np.ndarray) -> None:
+        self.bits, self.table = bits, table
+
+    @staticmethod
+    def places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The two bits of each hash."""
+        with np.errstate(over="ignore"):
+            return keys >> np.uint64(64 - bits), (keys * _C) >> np.uint64(64 - bits)
+
+    @staticmethod
+    def of(shingles: DataFrame, most_bits: int) -> ShingleFilter:
+        """From (shingle): 64 bits a shingle up to ``most_bits`` in all; what reaches the driver is the table of bits."""
+        bits = int(np.clip(int(np.ceil(np.log2(max(1, shingles.count()) * 64))), _LEAST_BITS, max(_LEAST_BITS, most_bits.bit_length() - 1)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                both = np.concatenate(ShingleFilter.places(batch.column(0).to_numpy().view(np.uint64), bits)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(both))], names=["bit"])
+
+        bit = shingles.select("shingle").mapInArrow(run, "bit long").withColumn("bit", F.col("bit") + 1)
+        parts = bit.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("held"))
+        table = np.zeros((1 << bits) // 8, dtype=np.uint8)
+        for r in parts.toLocalIterator():
+            at, held = (r.part - 1) * 4096, np.frombuffer(r.held, dtype=np.uint8)
+            table[at : at + len(held)] = held
+        return ShingleFilter(bits, table)
+
+    def among(self, keys: np.ndarray) -> np.ndarray:
+        """Positions of the hashes that pass."""
+        first, second = self.places(keys, self.bits)
+        at = np.flatnonzero(self.table[first >> np.uint64(3)] >> (first & np.uint64(7)).astype(np.uint8) & 1)
+        second = second[at]
+        return at[(self.table[second >> np.uint64(3)] >> (second & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+
+
+def _occurrences(texts: DataFrame, shingles: DataFrame, sizes: list[int], most_bits: int) -> DataFrame:
+    """(shingle, n): how often each of ``shingles`` is in the documents; a task sends one row for each that it met."""
+    shared = texts.sparkSession.sparkContext.broadcast(ShingleFilter.of(shingles, most_bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, fits = WordHashes(), shared.value
+        held: list[np.ndarray] = []
+        size = 0
+
+        def counted() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+        for batch in pieces(batches):
+            for text in batch.column(0):
+                ids = hashes.of(words_of(text.as_py()))
+                for s in sizes:
+                    keys = shingle_hashes(ids, s)
+                    if len(at := fits.among(keys)):
+                        held.append(keys[at])
+                        size += len(at)
+            if size > 1 << 22:
+                yield counted()
+                held, size = [], 0
+        if held:
+            yield counted()
+
+    # the filter may let others through; the semi-join leaves them out before they are counted on
+    return texts.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).join(shingles, "shingle", "left_semi")
+
+
+def _prefixes(windows: DataFrame, texts: DataFrame, sizes: list[int], most_bits: int) -> DataFrame:
+    """(shingle, offset, window, n, size, items): each window under its rarest shingle; windows of which no document has one are gone."""
+    each = windows.select("window", F.posexplode("shingles").alias("offset", "shingle"))
+    often = _occurrences(texts, each.select("shingle").distinct(), sizes, most_bits)
+    # a window all of whose shingles occur: the others cannot be contained
+    rarest = each.join(often, "shingle").groupBy("window").agg(F.min(F.struct("n", "shingle", "offset")).alias("r"), F.count(F.lit(1)).alias("met"))
+    return windows.join(rarest, "window").where(F.col("met") == F.size("shingles")).select(F.col("r.shingle").alias("shingle"), F.col("r.offset").alias("offset"), "window", "n", "items")
+
+
+def _places(texts: DataFrame, prefixes: DataFrame, sizes: list[int], width: int, most_bits: int) -> DataFrame:
+    """(a, b, at, shingle, lead, near): the places of texts that may hold a prefix shingle, with the words from ``lead`` before it to a window's reach after it."""
+    shared = texts.sparkSession.sparkContext.broadcast(ShingleFilter.of(prefixes.select("shingle").distinct(), most_bits))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("at", pa.int64()), ("shingle", pa.int64()), ("lead", pa.int32()), ("near", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, where, wanted, items = shared.value
-        index = ShingleIndex(shingles)
-        for batch in batches:
-            words, bounds = _words_of_batch(batch.column(batch.num_columns - 1).to_pylist())
-            hits: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
-            held: list[set[str]] = [set() for _ in range(batch.num_rows)]
-            for at, numbers in index.find(_hashes(words), bounds):
-                docs = np.searchsorted(bounds, at, side="right") - 1
-                for i, n, d in zip(at.tolist(), numbers.tolist(), docs.tolist(), strict=True):
-                    for k, offset in where[n]:
-                        start = i - offset
-                        stop = start + len(wanted[k])
-                        if start >= bounds[d] and stop <= bounds[d + 1] and words[start:stop] == wanted[k]:
-                            first = int(bounds[d])
-                            hits[d].append((start - first, stop - first))
-                            held[d].update(items[k])
-            made = [pa.array(np.diff(bounds).astype(np.int64)), pa.array([_merged(h) for h in hits], type=_HITS), pa.array([sorted(h) for h in held], type=pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*names, "n_words", "hits", "items"])
-
-    return source.mapInArrow(run, schema)
-
-
-def _merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
-    """Spans that overlap or touch as one."""
-    out: list[dict[str, int]] = []
-    for start, stop in sorted(spans):
-        if out and start <= out[-1]["stop"]:
-            out[-1]["stop"] = max(out[-1]["stop"], stop)
-        else:
-            out.append({"start": start, "stop": stop})
-    return out
-
-
-_HITS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        hashes, fits = WordHashes(), shared.value
+        rows: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+        for batch in pieces(batches):
+            for text, a, b in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words = words_of(text.as_py())
+                ids = hashes.of(words)
+                for s in sizes:
+                    keys = shingle_hashes(ids, s)
+                    # the shortest windows are one shingle; windows of the full shingle size reach out on both sides
+                    reach = width - s if s == sizes[-1] else 0
+                    for i in fits.among(keys).tolist():
+                        first = max(0, i - reach)
+                        rows.append((a, b, i, int(keys[i].view(np.int64)), i - first, b" ".join(words[first : i + s + reach]).decode()))
+                        if len(rows) >= 1 << 14:
+                            yield made()
+                            rows = []
+        if rows:
+            yield made()
+
+    return texts.mapInArrow(run, "a long, b long, at long, shingle long, lead int, near string").distinct()
 
 
 def _covered(hits: Column) -> Column:
@@ -198,37 +211,40 @@ def _covered(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits), F.struct(zero.alias("n"), zero.alias("end")), add, lambda s: s["n"])
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, width: int = 13, shingle: int = 3, block_windows: int = 200_000, percent: int = 5, text_col: str = "text") -> DataFrame:
+def hits_of_texts(documents: DataFrame, benchmark: DataFrame, width: int = 13, shingle: int = 3, filter_bits: int = 1 << 30, text_col: str = "text") -> DataFrame:
+    """(a, b, hits, items, n_hit) of the distinct texts that hold a window; (a, b) is ``row_identity`` of the text column."""
+    a, b = row_identity(documents, [text_col])
+    texts = documents.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"), a.alias("a"), b.alias("b"))
+    windows = cut(item_windows(benchmark, width, shingle))
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # 1 to ``shingle``
+    prefixes = cut(_prefixes(windows, texts, sizes, filter_bits))
+    met = _places(texts, prefixes, sizes, width, filter_bits).join(prefixes, "shingle")
+    # the place must leave room for the window before and after, and then hold its words
+    fits = met.where("lead >= offset").where(F.array_join(F.slice(F.split("near", " "), F.col("lead") - F.col("offset") + 1, F.col("n")), " ") == F.col("window"))
+    start = F.col("at") - F.col("offset")
+    found = fits.groupBy("a", "b").agg(F.collect_set(F.struct(start.alias("start"), (start + F.col("n")).alias("stop"))).alias("hits"), F.collect_set("items").alias("items"))
+    return found.select("a", "b", F.array_sort("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"), _covered(F.col("hits")).alias("n_hit"))
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, percent: int = 5, text_col: str = "text", **settings) -> DataFrame:
     """``keep`` (all columns by default), n_words, hits, items, n_hit, n_items, contaminated, per document."""
-    small_batches(documents.sparkSession)
-    taken = {"n_words", "hits", "items", "n_hit", "n_items", "contaminated", "__text"}
-    passed = [c for c in (documents.columns if keep is None else keep) if c.lower() not in taken]
-    source = documents.select(*[F.col(f"`{c}`") for c in passed], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
-    schema = ", ".join([*kept, "n_words long, hits array<struct<start:long,stop:long>>, items array<string>"])
-    windows = item_windows(benchmark, width)
-    blocks = max(1, math.ceil(windows.count() / block_windows))
-    numbered = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
-
-    def block(k: int) -> list:
-        return sorted(numbered.where(F.col("block") == k).drop("block").toLocalIterator(), key=lambda r: r.window)
-
-    if blocks == 1:
-        found = _hits_of_block(source, schema, block(0), shingle)
-    else:
-        # a block has a row for each document; equal rows meet here and are dealt out again
-        parts = [_hits_of_block(source.withColumn("__hash", F.sha2(F.encode("__text", "UTF-8"), 256)).select(*passed, "__hash", "__text"), f"{', '.join([*kept, '__hash string'])}, n_words long, hits array<struct<start:long,stop:long>>, items array<string>", block(k), shingle) for k in range(blocks)]
-        merged = parts[0]
-        for p in parts[1:]:
-            merged = merged.unionByName(p)
-        grouped = merged.groupBy(*[f"`{c}`" for c in passed], "__hash", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count(F.lit(1)) / blocks).cast("int").alias("times"))
-        found = grouped.withColumn("__copy", F.explode(F.expr("sequence(1, times)"))).drop("__hash", "times", "__copy")
-    found = found.withColumn("n_hit", _covered(F.col("hits"))).withColumn("items", F.array_sort("items")).withColumn("n_items", F.size("items").cast("long"))
-    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
-
-
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The clean rows, with the columns of ``documents``."""
-    renamed = {c: f"__in_{i}" for i, c in enumerate(documents.columns) if c != "text"}
-    judged = contamination(documents.withColumnsRenamed(renamed), benchmark, **settings)
-    return judged.where(~F.col("contaminated")).withColumnsRenamed({v: k for k, v in renamed.items()}).select(*[f"`{c}`" for c in documents.columns])
+    outputs = ["n_words", "hits", "items", "n_hit", "n_items", "contaminated"]
+    passed = [c for c in (documents.columns if keep is None else keep) if c.lower() not in {*outputs, "__a", "__b"}]
+    a, b = row_identity(documents, [text_col])
+    words = F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(WORDS)).cast("long")
+    rows = documents.select(*[F.col(f"`{c}`") for c in passed], words.alias("n_words"), a.alias("__a"), b.alias("__b"))
+    found = cut(hits_of_texts(documents, benchmark, text_col=text_col, **settings)).toDF("__c", "__d", "hits", "items", "n_hit")
+    joined = rows.join(found, (F.col("__a") == F.col("__c")) & (F.col("__b") == F.col("__d")), "left")
+    made = joined.withColumns({"hits": F.coalesce("hits", F.array().cast("array<struct<start:bigint,stop:bigint>>")), "items": F.coalesce("items", F.array().cast("array<string>")), "n_hit": F.coalesce("n_hit", F.lit(0).cast("long"))})
+    made = made.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
+    return made.select(*[F.col(f"`{c}`") for c in passed], *outputs)
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, percent: int = 5, text_col: str = "text", **settings) -> DataFrame:
+    """The clean rows, with the columns of ``documents``; only the texts that hold a window at all are looked at again."""
+    a, b = row_identity(documents, [text_col])
+    found = cut(hits_of_texts(documents, benchmark, text_col=text_col, **settings)).select(F.col("a").alias("__c"), F.col("b").alias("__d"), F.col("n_hit").alias("__n_hit"))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"), a.alias("__a"), b.alias("__b"))
+    joined = rows.join(found, (F.col("__a") == F.col("__c")) & (F.col("__b") == F.col("__d")), "left")
+    contaminated = F.when(F.col("__n_hit") > 0, 100 * F.col("__n_hit") >= percent * F.regexp_count("__text", F.lit(WORDS))).otherwise(F.lit(False))
+    return joined.where(~contaminated).select("__row.*")
