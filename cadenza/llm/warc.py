@@ -9,12 +9,15 @@ Files are kept as tables: an archive is rows (archive, chunk, content) of bounde
 attempt of a lost task counts, and any store that Spark reaches can hold them.  ``export_archives`` copies them to plain files.
 
 Records of equal payload of at least ``least_bytes`` bytes: the one of the smallest page_id is the response, others are revisits
-that carry the digest and length of the full payload and refer to it.  Copies are counted by digest with a combining group-by.
+that carry the digest and length of the full payload and name its page and target.  Copies are counted by digest with a combining group-by, and only
+payloads of that many bytes are joined with the counts, so small pages, which are often alike, meet nowhere.
+
+Record ids are unique: they come from the archive and the record's place in it.  The page is a header of its own, as pages may share an id or have none.
 
 Defined cases: null html is the empty payload; a null url is an empty target; a null page_id is written as an empty id, read back as null, and comes
 after all others in its group (with no other id, its records are responses); repeated rows of the smallest page_id are all responses; line
 breaks in urls are percent-encoded; an empty table writes empty archives' tables and reads no rows; other columns are ignored.  Memory is one
-batch of pages, one chunk and one record.
+Arrow batch, which Spark bounds by bytes, one chunk and one record.
 """
 
 from __future__ import annotations
@@ -23,14 +26,14 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
-from uuid import uuid4
+from uuid import NAMESPACE_URL, uuid4, uuid5
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import shared_dir, small_batches
+from cadenza.llm.common import pieces, remove, shared_dir
 
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -38,33 +41,31 @@ _BREAK = b"\r\n"
 
 
 def page_records(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """(page_id, url, payload, payload_digest, payload_bytes, record_type, refers_to) of every row."""
+    """(page_id, url, payload, payload_digest, payload_bytes, record_type, refers_to, refers_to_url) of every row."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
-    copied = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1 and first is not null").select("payload_digest", "first")
-    joined = rows.join(copied, "payload_digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    return joined.select("page_id", "url", "payload", "payload_digest", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
-
-
-def _identity(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+    large = rows.where(F.col("payload_bytes") >= least_bytes)
+    # nulls are left out of the least page; an all-null group has none
+    copied = large.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first")).where("n > 1 and first is not null").select("payload_digest", "first")
+    revisit = F.col("first").isNotNull() & ~F.col("first.page_id").eqNullSafe(F.col("page_id"))
+    judged = large.join(copied, "payload_digest", "left").withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("first.page_id")), "refers_to_url": F.when(revisit, F.col("first.url"))})
+    small = rows.where(F.col("payload_bytes") < least_bytes).withColumn("record_type", F.lit("response"))
+    return judged.drop("first").unionByName(small, allowMissingColumns=True).select("page_id", "url", "payload", "payload_digest", "payload_bytes", "record_type", "refers_to", "refers_to_url")
 
 
-def _page(identity: str) -> int | None:
-    text = identity.removeprefix("<urn:page:").removesuffix(">")
-    return int(text) if text else None
+def _target(url: str) -> bytes:
+    return url.replace("\r", "%0D").replace("\n", "%0A").encode()
 
 
-def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
+def record_bytes(identity: str, page_id: int | None, url: str, payload: bytes, digest: str, kind: str, refers_to: int | None, refers_to_url: str | None) -> bytes:
     """One WARC/1.1 record; a revisit keeps the HTTP head and drops the payload."""
-    target = url.replace("\r", "%0D").replace("\n", "%0A").encode()
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if kind == "revisit" else head + payload
-    lines = [b"WARC/1.1", b"WARC-Type: " + kind.encode(), f"WARC-Record-ID: {_identity(page_id)}".encode(), b"WARC-Target-URI: " + target, f"WARC-Date: {_DATE}".encode(), b"Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}".encode()]
+    lines = [b"WARC/1.1", b"WARC-Type: " + kind.encode(), f"WARC-Record-ID: {identity}".encode(), b"WARC-Target-URI: " + _target(url), f"WARC-Date: {_DATE}".encode(), b"Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}".encode()]
+    lines.append(f"Page-ID: {'' if page_id is None else page_id}".encode())
     if kind == "revisit":
-        lines += [f"WARC-Refers-To: {_identity(refers_to)}".encode(), f"WARC-Profile: {_PROFILE}".encode()]
+        lines += [f"Refers-To-Page-ID: {refers_to}".encode(), b"WARC-Refers-To-Target-URI: " + _target(refers_to_url or ""), f"WARC-Refers-To-Date: {_DATE}".encode(), f"WARC-Profile: {_PROFILE}".encode()]
     lines.append(f"Content-Length: {len(block)}".encode())
     return _BREAK.join(lines) + _BREAK * 2 + block + _BREAK * 2
 
@@ -103,23 +104,27 @@ class RecordParser:
             raise ValueError("the stream ends within a record")
 
 
+_WRITTEN = ("page_id", "url", "payload", "payload_digest", "record_type", "refers_to", "refers_to_url")
+
+
 def write_archives(records: DataFrame, path: str, archive_bytes: int = 256 << 20, chunk_bytes: int = 4 << 20, level: int = 1) -> DataFrame:
     """Write ``page_records`` as monolithic gzip streams, a table (archive, chunk, content), and return it."""
-    small_batches(records.sparkSession)
     schema = pa.schema([("archive", pa.string()), ("chunk", pa.int64()), ("content", pa.binary())])
+    prefix = uuid4().hex  # ids of two crawls differ
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, chunk, size = TaskContext.get().partitionId(), 0, 0, 0
+        part, number, chunk, size, record = TaskContext.get().partitionId(), 0, 0, 0, 0
         out, stream = bytearray(), None
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f"crawl-{part:06d}-{number:05d}"]), pa.array([chunk], pa.int64()), pa.array([bytes(out)], pa.binary())], schema=schema)
 
-        for batch in batches:
-            for r in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "payload", "payload_digest", "record_type", "refers_to")), strict=True):
+        for batch in pieces(batches, 64):
+            for r in zip(*(batch.column(k).to_pylist() for k in _WRITTEN), strict=True):
                 if stream is None:
-                    stream, chunk, size = zlib.compressobj(level, zlib.DEFLATED, 31), 0, 0
-                data = record_bytes(*r)
+                    stream, chunk, size, record = zlib.compressobj(level, zlib.DEFLATED, 31), 0, 0, 0
+                data = record_bytes(f"<urn:uuid:{uuid5(NAMESPACE_URL, f'{prefix}/{part}/{number}/{record}')}>", *r)
+                record += 1
                 size += len(data)
                 out += stream.compress(data)
                 if len(out) >= chunk_bytes:
@@ -133,7 +138,7 @@ def write_archives(records: DataFrame, path: str, archive_bytes: int = 256 << 20
             out += stream.flush()
             yield row()
 
-    records.select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to").mapInArrow(run, "archive string, chunk long, content binary").write.parquet(path)
+    records.select(*_WRITTEN).mapInArrow(run, "archive string, chunk long, content binary").write.parquet(path)
     return records.sparkSession.read.parquet(path)
 
 
@@ -153,7 +158,7 @@ def normalise(archives: DataFrame, path: str, level: int = 1, batch_bytes: int =
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _MEMBER, strict=True)], schema=_MEMBER)
 
-        for batch in batches:
+        for batch in pieces(batches, 1):
             for archive, content in zip(batch.column("archive").to_pylist(), batch.column("content"), strict=True):
                 if archive != current:
                     parser.close()
@@ -178,13 +183,8 @@ def normalise(archives: DataFrame, path: str, level: int = 1, batch_bytes: int =
             yield flush()
 
     spark = archives.sparkSession
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     ordered = archives.repartition("archive").sortWithinPartitions("archive", "chunk")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # chunks are large rows
-    try:
-        ordered.mapInArrow(run, "archive string, record_no long, offset long, length long, type string, record_id string, target string, payload_digest string, content binary").write.parquet(f"{path}/members")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    ordered.mapInArrow(run, "archive string, record_no long, offset long, length long, type string, record_id string, target string, payload_digest string, content binary").write.parquet(f"{path}/members")
     members = spark.read.parquet(f"{path}/members")
     members.drop("content").write.parquet(f"{path}/index")
     return members, spark.read.parquet(f"{path}/index")
@@ -195,7 +195,7 @@ def read_records(members: DataFrame) -> DataFrame:
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_ok", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 64):
             rows: list[tuple] = []
             for content in batch.column(0):
                 parser = RecordParser()
@@ -203,12 +203,13 @@ def read_records(members: DataFrame) -> DataFrame:
                     head, _, payload = block.partition(b"\r\n\r\n")
                     stated = int(next(x.partition(b":")[2] for x in head.split(_BREAK) if x.lower().startswith(b"content-length")))
                     kind, digest = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha256:")
-                    refers = headers.get("warc-refers-to")
+                    page, refers = headers["page-id"], headers.get("refers-to-page-id")
+                    page = int(page) if page else None
                     if kind == "response":
                         found = hashlib.sha256(payload).hexdigest()
-                        rows.append((_page(headers["warc-record-id"]), len(payload), found, kind, None, found == digest and stated == len(payload)))
+                        rows.append((page, len(payload), found, kind, None, found == digest and stated == len(payload)))
                     else:
-                        rows.append((_page(headers["warc-record-id"]), stated, digest, kind, _page(refers) if refers else None, not payload))
+                        rows.append((page, stated, digest, kind, int(refers) if refers else None, not payload))
                 parser.close()
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * len(schema), schema, strict=True)], schema=schema)
 
@@ -220,6 +221,7 @@ def archive_pages(pages: DataFrame, path: str | None = None, least_bytes: int =
     spark: SparkSession = pages.sparkSession
     path = path or f"{shared_dir(spark).rstrip('/')}/warc-{uuid4().hex}"
     members, index = normalise(write_archives(page_records(pages, least_bytes), f"{path}/monolithic"), path)
+    remove(spark, f"{path}/monolithic")
     return read_records(members), members, index
 
 
