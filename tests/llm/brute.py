@@ -157,3 +157,99 @@ def warc(pages):
 
 def crc(text):
     return zlib.crc32((text or "").encode())
+
+
+SYMBOLS = b"#*$%&|<>!?^~_=+@"
+
+
+def quality_features(text, n_chars, buckets):
+    """position -> value of the classifier's features: structure first, then hashed words."""
+    import math
+
+    text = text or ""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+    n, chars, d = len(words), len(text), max(1, len(words))
+    lines = [x for x in text.split("\n") if x.strip()]
+    count = lambda of: sum(text.count(c) for c in of)
+    structure = [
+        math.log1p(n) / 8, math.log1p(chars) / 10, min(2.0, chars / d / 10), sum(w.isupper() and len(w) > 1 for w in words) / d, sum(w[-1] in SYMBOLS for w in words) / d, count("0123456789") / max(1, chars),
+        count("#*$%&|<>") / max(1, chars) * 4, len(set(words)) / d, sum(a == b for a, b in zip(words, words[1:], strict=False)) / d, 1 - len(set(lines)) / max(1, len(lines)), min(2.0, n / max(1, len(lines)) / 50),
+        min(2.0, count(".!?") / d * 4), min(2.0, count("|»•·") / d * 2), count(" ") / max(1, chars), min(2.0, max((min(len(w), 255) for w in words), default=0) / 50), float(n == 0),
+        math.log1p(max(0, n_chars or 0)) / 10, float(n_chars is None), float(n_chars is not None and n_chars != chars),
+    ]
+    bags = Counter(zlib.crc32(w.lower()) % buckets for w in words)
+    norm = math.sqrt(n * (1 + 10 / n)) if n else 1.0
+    return dict(enumerate(structure)) | {len(structure) + k: math.sqrt(v) / norm for k, v in bags.items()}
+
+
+def quality_score(model, x):
+    """The factorisation machine with its pairs one by one."""
+    import math
+
+    items = sorted(x.items())
+    y = model.w0 + sum(model.w[i] * v for i, v in items)
+    for k, (i, v) in enumerate(items):
+        for j, w in items[k + 1 :]:
+            y += float(model.v[i] @ model.v[j]) * v * w
+    return 1 / (1 + math.exp(-max(-30, min(30, y))))
+
+
+BROAD = {
+    "prefixed": (r"\b(?:ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk-|AIza|hf_)[A-Za-z0-9_-]{16,}", 16),
+    "jwt": (r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 24),
+    "login": (r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,200}:[^\s:/@]{1,200}@", 8),
+}
+
+
+def all_spans(rows, owners=3, repositories=10):
+    """spans of (doc_id, text, source) rows: the base kinds, and the others' whose value is not widely copied."""
+    found, held = [], defaultdict(set)
+    for i, text, source in rows:
+        text = text or ""
+        mine = [(m.start(), 0, "assign", m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        mine += [(m.start(), 1, "access", m.end(), m[0]) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        mine += [(m.start(), 2, "hex", m.end(), m[0]) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+        for k, (kind, (pattern, least)) in enumerate(BROAD.items()):
+            mine += [(m.start(), 3 + k, kind, m.end(), m[0]) for m in re.finditer(pattern, text, re.A) if len(m[0]) >= least]
+        found.append((i, mine))
+        for *_, value in mine:
+            held[value].add((source, i))
+    copied = {v for v, h in held.items() if len({s for s, _ in h}) >= owners or (len({s for s, _ in h}) >= 2 and len({i for _, i in h}) >= repositories)}
+    return [(i, ",".join(f"{k}:{a}:{b}" for a, _, k, b, v in sorted(mine) if k not in BROAD or v not in copied)) for i, mine in found]
+
+
+def mixed_positions(rows, schedules, steps=20_000):
+    """(doc_id, size, taken, copies, position of the first word) of (doc_id, text, source) rows, with the schedules integrated in small steps."""
+    import bisect
+
+    size = lambda t: len(WORD.findall(t or ""))
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += size(t)
+    want, order = targets(sizes), sorted(sizes, key=lambda s: (s is None, s or ""))
+
+    def curve(knots):
+        total, out = 0.0, [0.0]
+        for k in range(steps):
+            t = (k + 0.5) / steps
+            (a, v), (b, w) = next((p, q) for p, q in zip(knots, knots[1:], strict=False) if p[0] <= t <= q[0])
+            total += v + (w - v) * (t - a) / (b - a)
+            out.append(total)
+        return [x / total for x in out]
+
+    curves = [curve(k) for k in schedules]
+    which = {s: curves[i % len(curves)] for i, s in enumerate(order)}
+    whole = sum(want.values())
+    drawn = [sum(want[s] * which[s][k] for s in order) / whole if whole else 1.0 for k in range(steps + 1)]
+    out = []
+    for s in order:
+        mine = sorted((hashlib.md5(f"{'null' if i is None else i}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest(), i is None, i or 0, size(t), t) for i, t, z in rows if z == s)
+        at, total = 0, int(want[s])
+        for _, none, i, n, t in mine:
+            passes = total // sizes[s] if sizes[s] else 0
+            taken = passes * n + max(0, min(n, total - passes * sizes[s] - at))
+            copies = (2 * taken + n) // (2 * n) if n else 0
+            share = min(1.0, at / want[s]) if want[s] else 1.0
+            out.append((None if none else i, t, n, taken, copies, drawn[min(steps, bisect.bisect_left(which[s], share))]))
+            at += n
+    return out
