@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.expr import squared_distance
 from cadenza.schema import FEATURE_WEIGHTS, TOP_K
 
 
@@ -31,27 +30,29 @@ def scaler_table(df: DataFrame, columns: list[str]) -> DataFrame:
     return long_form(df, [], columns).groupBy("feature").agg(F.avg("value").alias("mean"), F.when(std == 0, 1.0).otherwise(std).alias("scale"))
 
 
-def similar(catalogue: DataFrame, query: DataFrame, key: str, columns: list[str], weights: dict[str, float] | None = None, k: int = TOP_K) -> DataFrame:
-    """(rank, key, d2, similarity) of the ``k`` rows nearest to the one row ``query``.
+def similar(catalogue: DataFrame, queries: DataFrame, key: str, columns: list[str], weights: dict[str, float] | None = None, k: int = TOP_K) -> DataFrame:
+    """(query, rank, key, d2, similarity): the ``k`` rows nearest to each row of ``queries``, which finds itself first if it is in the catalogue.
 
     Weights scale raw features before the scaler that was fitted without them; the means cancel, so the squared distance is
-    the sum of (w (q - x) / s)^2.  One pass over the catalogue ends in a top-k; only one-row sides are broadcast.
+    the sum of (w (q - x) / s)^2, and both sides are brought to that scale once.  Only the one-row scaler is broadcast.
     """
     weights = FEATURE_WEIGHTS if weights is None else weights
     vec = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])
     scaler = fit_scaler(catalogue, columns).select("scale")
-    one = query.limit(1).select(vec.alias("__q")).join(F.broadcast(scaler))
     factor = F.zip_with(F.array(*[F.lit(float(weights.get(c, 1.0))) for c in columns]), F.col("scale"), lambda w, s: w / s)
-    scored = catalogue.select(key, vec.alias("__x")).join(F.broadcast(one.select("__q", factor.alias("__w")))).select(key, squared_distance(F.col("__q"), F.col("__x"), F.col("__w")).alias("d2"))
-    top = scored.orderBy("d2", key).limit(k)  # k rows
-    return top.select(F.row_number().over(Window.orderBy("d2", key)).alias("rank"), key, "d2", (1 / (1 + F.col("d2"))).alias("similarity"))
 
+    def scaled(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col(key).alias("id"), vec.alias("__x")).join(F.broadcast(scaler)).select("id", F.zip_with("__x", factor, lambda x, w: x * w).alias("vec"))
 
-def similar_vectors(vectors: DataFrame, query: DataFrame, dim: int, weights: list[float] | None = None, k: int = TOP_K) -> DataFrame:
+    found = nearest_neighbours(scaled(catalogue), k, queries=scaled(queries), others=False)
+    return found.select(F.col("id").alias("query"), "rank", F.col("neighbour").alias(key), "d2", (1 / (1 + F.col("d2"))).alias("similarity"))
+
+
+def similar_vectors(vectors: DataFrame, queries: DataFrame, dim: int, weights: list[float] | None = None, k: int = TOP_K) -> DataFrame:
     """``similar`` for (id, vec): a vector has one weight for each of its ``dim`` positions."""
     names = [f"v{i}" for i in range(dim)]
     wide = lambda df: df.select("id", *[F.col("vec")[i].alias(n) for i, n in enumerate(names)])
-    return similar(wide(vectors), wide(query), "id", names, dict(zip(names, weights or [1.0] * dim, strict=True)), k)
+    return similar(wide(vectors), wide(queries), "id", names, dict(zip(names, weights or [1.0] * dim, strict=True)), k)
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -76,22 +77,24 @@ def impute_means(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.join(F.broadcast(means)).withColumns({c: F.coalesce(c, f"__{c}") for c in columns}).drop(*[f"__{c}" for c in columns])
 
 
-def feature_differences(catalogue: DataFrame, query: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, feature, diff): absolute difference to the one row ``query``."""
-    asked = long_form(query.limit(1), [], columns).withColumnRenamed("value", "__q")  # a row per feature
-    return long_form(catalogue, [key], columns).join(F.broadcast(asked), "feature").select(key, "feature", F.abs(F.col("value") - F.col("__q")).alias("diff"))
+def feature_differences(found: DataFrame, catalogue: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(query, key, feature, diff): absolute differences of each (query, key) pair that a search found; two equi-joins by row and feature."""
+    each = long_form(catalogue, [key], columns)
+    asked = each.select(F.col(key).alias("query"), "feature", F.col("value").alias("__q"))
+    return found.select("query", key).join(each, key).join(asked, ["query", "feature"]).select("query", key, "feature", F.abs(F.col("value") - F.col("__q")).alias("diff"))
 
 
-def _blocked(vectors: DataFrame, block_rows: int) -> DataFrame:
-    """Rows with (q, c, side): every row once as a query (side 0) against each block and once as a candidate (side 1) for each block of queries.
+def _blocked(queries: DataFrame, vectors: DataFrame, block_rows: int) -> DataFrame:
+    """Rows with (q, c, side): every query (side 0) against each block of candidates and every candidate (side 1) against each block of queries.
 
     Blocks have ``block_rows`` rows or so whatever the size, so a pair of blocks fits a task and the work is the product of two bounded sides.
     """
-    blocks = max(1, -(-vectors.count() // block_rows))
-    block, other = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.sequence(F.lit(0), F.lit(blocks - 1))
-    dealt = vectors.withColumn("__block", block).withColumn("__other", F.explode(other)).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
-    first = F.col("side") == 0
-    return dealt.withColumns({"q": F.when(first, F.col("__block")).otherwise(F.col("__other")), "c": F.when(first, F.col("__other")).otherwise(F.col("__block"))}).drop("__block", "__other")
+    def dealt(rows: DataFrame, side: int, own: int, other: int) -> DataFrame:
+        block = F.pmod(F.xxhash64("id"), F.lit(own)).cast("int").alias("qc"[side])
+        return rows.select("*", block, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("cq"[side]), F.lit(side).alias("side"))
+
+    many = [max(1, -(-df.count() // block_rows)) for df in (queries, vectors)]
+    return dealt(queries, 0, *many).unionByName(dealt(vectors, 1, *many[::-1]))
 
 
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
@@ -108,28 +111,33 @@ def _squared(a: np.ndarray, b: np.ndarray, rows: int = 256) -> Iterator[tuple[in
         yield i, out
 
 
-def nearest_neighbours(vectors: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
-    """(id, rank, neighbour, d2): the ``k`` nearest others of every row of (id, vec), exactly, ties by id.
+def nearest_neighbours(vectors: DataFrame, k: int, block_rows: int = 8192, queries: DataFrame | None = None, others: bool = True) -> DataFrame:
+    """(id, rank, neighbour, d2): the ``k`` nearest rows of (id, vec) to every query, exactly, ties by id; ``others``: a row is no neighbour of itself.
 
-    Pairs of blocks keep k candidates a query; the second step merges them, so nothing of size n^2 is ever shuffled.
+    ``queries`` are all rows by default.  Pairs of blocks keep k candidates a query; the second step merges them, so no more than that is shuffled but the blocks themselves.
     """
+    kind = vectors.schema["id"].dataType.simpleString()
+
     def best(pair: pd.DataFrame) -> pd.DataFrame:
         left, right = (pair[pair["side"] == k] for k in (0, 1))
         if not len(left) or not len(right):
             return pd.DataFrame({"id": [], "neighbour": [], "d2": []})
-        a, b, ids, others = _matrix(left), _matrix(right), left.id.to_numpy(), right.id.to_numpy()
+        a, b, ids, names = _matrix(left), _matrix(right), left.id.to_numpy(), right.id.to_numpy()
+        order = np.argsort(np.argsort(names, kind="stable"), kind="stable")
         out = []
         for i, d2 in _squared(a, b):
             for r in range(len(d2)):
                 row = d2[r].copy()
-                row[others == ids[i + r]] = np.inf
+                if others:
+                    row[names == ids[i + r]] = np.inf
                 bound = np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1]
                 near = np.flatnonzero((row <= bound) & np.isfinite(row))
-                near = near[np.lexsort((others[near], row[near]))][:k]
-                out.append((np.full(len(near), ids[i + r]), others[near], row[near]))
+                near = near[np.lexsort((order[near], row[near]))][:k]
+                out.append((np.full(len(near), ids[i + r]), names[near], row[near]))
         return pd.DataFrame({"id": np.concatenate([o[0] for o in out]), "neighbour": np.concatenate([o[1] for o in out]), "d2": np.concatenate([o[2] for o in out])})
 
-    some = _blocked(vectors.select("id", "vec"), block_rows).groupBy("q", "c").applyInPandas(best, "id long, neighbour long, d2 double")
+    asked = (vectors if queries is None else queries).select("id", "vec")
+    some = _blocked(asked, vectors.select("id", "vec"), block_rows).groupBy("q", "c").applyInPandas(best, f"id {kind}, neighbour {kind}, d2 double")
     order = Window.partitionBy("id").orderBy("d2", "neighbour")
     return some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "rank", "neighbour", "d2")
 
@@ -156,7 +164,8 @@ def label_distances(vectors: DataFrame, block_rows: int = 4096) -> DataFrame:
             out.append(pd.DataFrame({"id": np.repeat(left.id.to_numpy()[i : i + rows], len(labels)), "label": np.repeat(left.label.to_numpy()[i : i + rows], len(labels)), "other": np.tile(labels, rows), "total": total.ravel(), "n": np.tile(member.sum(axis=0).astype(int), rows)}))
         return pd.concat(out)
 
-    each = _blocked(vectors.select("id", "vec", "label"), block_rows).groupBy("q", "c").applyInPandas(sums, "id long, label int, other int, total double, n long")
+    labelled = vectors.select("id", "vec", "label")
+    each = _blocked(labelled, labelled, block_rows).groupBy("q", "c").applyInPandas(sums, "id long, label int, other int, total double, n long")
     return each.groupBy("id", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GROUP = ["file_id", "track_id"]
@@ -127,6 +127,18 @@ def motif_positions(tokens: list, least: int, most: int) -> dict[tuple, list[int
     return found
 
 
+def long_motifs(notes: DataFrame, token: Column, least: int, most: int, group: list[str] = GROUP, order: str = "note_id") -> DataFrame:
+    """(group, n, gram, positions, count, score): windows of ``least`` to ``most`` tokens that a track repeats, for ranges too wide to write out every window."""
+
+    def run(pdf: pd.DataFrame) -> Iterator[tuple]:
+        for gram, positions in motif_positions(pdf["__token"].tolist(), least, most).items():
+            yield len(gram), list(map(str, gram)), positions, len(positions), len(positions) * len(gram)
+
+    rows = notes.withColumn("__token", token)
+    rows = rows if order == "note_id" else rows.withColumn("note_id", F.col(order))
+    return per_group(rows, group, ["note_id", "start", "__token"], "n int, gram array<string>, positions array<int>, count long, score long", run)
+
+
 def greedy_cover(tokens: list, least: int, most: int) -> list[tuple[int, int, int, int]]:
     """(position, length, occurrences, motif_id) of accepted occurrences: longest motifs first, then commonest, then earliest; no note is used twice."""
     found = motif_positions(tokens, least, most)

@@ -9,6 +9,7 @@ from cadenza.functions.expr import octave_name, pitch_class
 from cadenza.operators import boundaries as b
 from cadenza.operators import classify, cluster, search
 from cadenza.operators import timeline as t
+from cadenza.plans.feature_queries import EVERY
 from cadenza.plans.oracle import E, L
 from cadenza.plans.registry import query, rounded
 from cadenza.plans.timeline_queries import _BARS, _SILENT, BAR_E, BAR_L, FILE_TRACK, LOUD, TRACK, _lines, _notes
@@ -87,7 +88,7 @@ def note_kmeans_E(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def pca_similar_V(spark: SparkSession, d: str) -> DataFrame:
     reduced = cluster.pca(vectors(spark, d), 8)[0]
-    return rounded(search.similar_vectors(reduced, reduced.where("id = 0"), 8), "d2", "similarity")
+    return rounded(search.similar_vectors(reduced, reduced.where(F.col("id") % EVERY == 0), 8), "d2", "similarity")
 
 
 @query()

@@ -38,32 +38,39 @@ def scaler_E(spark: SparkSession, d: str) -> DataFrame:
     return rounded(search.scaler_table(tracks10(spark, d), FEATURES), "mean", "scale")
 
 
-@query(
-    f"""WITH {E}, {LAGS}, {F10}, {LONG10}, w(feature, weight) AS (VALUES {_W}), s AS (SELECT feature, CASE WHEN stddev_pop(value) = 0 THEN 1 ELSE stddev_pop(value) END AS sd FROM long GROUP BY feature),
-  q AS (SELECT feature, value FROM long WHERE track_id = (SELECT min(track_id) FROM f)),
-  d AS (SELECT l.track_id, sum(pow(weight * (q.value - l.value) / sd, 2)) AS d2 FROM long l JOIN q USING (feature) JOIN s USING (feature) JOIN w USING (feature) GROUP BY l.track_id)
-  SELECT CAST(row_number() OVER (ORDER BY d2, track_id) AS INT) AS rank, track_id, {r('d2')}, round(1 / (1 + d2), 4) AS similarity FROM d ORDER BY d2, track_id LIMIT 33"""
-)
+#: A search asks for every row whose id this divides, against all rows.
+EVERY = 20
+
+_NEAR10 = f"""w(feature, weight) AS (VALUES {_W}), s AS (SELECT feature, CASE WHEN stddev_pop(value) = 0 THEN 1 ELSE stddev_pop(value) END AS sd FROM long GROUP BY feature),
+  d AS (SELECT q.track_id AS query, l.track_id, sum(pow(weight * (q.value - l.value) / sd, 2)) AS d2 FROM long l JOIN long q USING (feature) JOIN s USING (feature) JOIN w USING (feature) WHERE q.track_id % {EVERY} = 0 GROUP BY q.track_id, l.track_id),
+  near AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY round(d2, 9), track_id) AS INT) AS rank, track_id, d2 FROM d QUALIFY rank <= 33)"""
+
+
+def _asked(rows: DataFrame, key: str) -> DataFrame:
+    return rows.where(F.col(key) % EVERY == 0)
+
+
+@query(f"WITH {E}, {LAGS}, {F10}, {LONG10}, {_NEAR10} SELECT query, rank, track_id, {r('d2')}, round(1 / (1 + d2), 4) AS similarity FROM near")
 def similar_tracks_E(spark: SparkSession, d: str) -> DataFrame:
     catalogue = tracks10(spark, d)
-    return rounded(search.similar(catalogue, catalogue.orderBy("track_id"), "track_id", FEATURES), "d2", "similarity")
+    return rounded(search.similar(catalogue, _asked(catalogue, "track_id"), "track_id", FEATURES), "d2", "similarity")
 
 
 def _knn_sql(weight: str) -> str:
-    return f"""WITH {_V}, {_SCALE}, q AS (SELECT i, val FROM x WHERE vec_id = 0), d AS (SELECT x.vec_id AS id, sum(pow({weight} * (q.val - x.val) / sd, 2)) AS d2 FROM x JOIN q USING (i) JOIN s USING (i) GROUP BY x.vec_id)
-  SELECT CAST(row_number() OVER (ORDER BY d2, id) AS INT) AS rank, id, {r('d2')}, round(1 / (1 + d2), 4) AS similarity FROM d ORDER BY d2, id LIMIT 33"""
+    return f"""WITH {_V}, {_SCALE}, q AS (SELECT vec_id AS query, i, val FROM x WHERE vec_id % {EVERY} = 0), d AS (SELECT query, x.vec_id AS id, sum(pow({weight} * (q.val - x.val) / sd, 2)) AS d2 FROM x JOIN q USING (i) JOIN s USING (i) GROUP BY query, x.vec_id),
+  k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY round(d2, 9), id) AS INT) AS rank FROM d QUALIFY rank <= 33) SELECT query, rank, id, {r('d2')}, round(1 / (1 + d2), 4) AS similarity FROM k"""
 
 
 @query(_knn_sql("(0.5 + ((i - 1) % 4) * 0.5)"))
 def knn_weighted_V(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    return rounded(search.similar_vectors(v, v.where("id = 0"), DIM, VECTOR_WEIGHTS), "d2", "similarity")
+    return rounded(search.similar_vectors(v, _asked(v, "id"), DIM, VECTOR_WEIGHTS), "d2", "similarity")
 
 
 @query(_knn_sql("1"))
 def knn_unweighted_V(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    return rounded(search.similar_vectors(v, v.where("id = 0"), DIM), "d2", "similarity")
+    return rounded(search.similar_vectors(v, _asked(v, "id"), DIM), "d2", "similarity")
 
 
 _EIGHT = [*FEATURES8, "pitch_min", "pitch_max", "duration_min", "duration_max"]
@@ -125,18 +132,19 @@ def corr_E(spark: SparkSession, d: str) -> DataFrame:
     return rounded(search.correlations(tracks8(spark, d), _VARYING), "corr")
 
 
-_KNN = "p AS (SELECT a.vec_id AS id, b.vec_id AS neighbour, a.label AS la, b.label AS lb, pow(list_distance(a.e, b.e), 2) AS d2 FROM v a JOIN v b ON a.vec_id <> b.vec_id), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY round(d2, 9), neighbour) AS INT) AS rank FROM p QUALIFY rank <= 5)"
+_KNN = f"p AS (SELECT a.vec_id AS id, b.vec_id AS neighbour, a.label AS la, b.label AS lb, pow(list_distance(a.e, b.e), 2) AS d2 FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY round(d2, 9), neighbour) AS INT) AS rank FROM p QUALIFY rank <= 5)"
 
 
 @query(f"WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), {_KNN} SELECT id, rank, neighbour, {r('d2')} FROM k")
-def knn_all_pairs_V(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(search.nearest_neighbours(vectors(spark, d), 5), "d2")
+def knn_V(spark: SparkSession, d: str) -> DataFrame:
+    v = vectors(spark, d)
+    return rounded(search.nearest_neighbours(v, 5, queries=_asked(v, "id")), "d2")
 
 
 @query(f"WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), {_KNN} SELECT id, count(*) FILTER (la = lb) AS hits, count(*) FILTER (la = lb) >= 3 AS ok FROM k GROUP BY id")
 def precision_at_k_V(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    return search.precision_at_k(search.nearest_neighbours(v, 5), v.select("id", "label"))
+    return search.precision_at_k(search.nearest_neighbours(v, 5, queries=_asked(v, "id")), v.select("id", "label"))
 
 
 @query(
@@ -149,13 +157,17 @@ def nearest_beat_E(spark: SparkSession, d: str) -> DataFrame:
     return rounded(features.nearest_beat(melodic(notes).select("track_id", "note_id", "start"), beats, ["track_id"]).select("track_id", "note_id", "beat_distance"), "beat_distance", digits=3)
 
 
-@query(f"WITH {E}, {LAGS}, {F10}, {LONG10}, q AS (SELECT feature, value FROM long WHERE track_id = (SELECT min(track_id) FROM f)) SELECT l.track_id, feature, round(abs(l.value - q.value), 4) AS diff FROM long l JOIN q USING (feature)")
+@query(f"WITH {E}, {LAGS}, {F10}, {LONG10}, {_NEAR10} SELECT n.query, n.track_id, l.feature, round(abs(l.value - q.value), 4) AS diff FROM near n JOIN long l USING (track_id) JOIN long q ON q.track_id = n.query AND q.feature = l.feature")
 def feature_diff_E(spark: SparkSession, d: str) -> DataFrame:
     catalogue = tracks10(spark, d)
-    return rounded(search.feature_differences(catalogue, catalogue.orderBy("track_id"), "track_id", FEATURES), "diff")
+    found = search.similar(catalogue, _asked(catalogue, "track_id"), "track_id", FEATURES)
+    return rounded(search.feature_differences(found, catalogue, "track_id", FEATURES), "diff")
 
 
-@query()
+@query(
+    f"""WITH {E}, o AS (SELECT DISTINCT track_id, start FROM mel), g AS (SELECT track_id, round_even((start - lag(start) OVER (PARTITION BY track_id ORDER BY start)) / 60, 0) * 60 AS gap FROM o), n AS (SELECT track_id, gap, count(*) AS n FROM g WHERE gap > 0 GROUP BY ALL),
+  b AS (SELECT track_id, 60 / arg_min(gap, (-n, gap)) AS bpm FROM n GROUP BY track_id), f AS (SELECT track_id, bpm * pow(2, greatest(ceil(log2(60 / bpm)), 0) - greatest(floor(log2(bpm / 200)) + 1, 0)) AS tempo FROM b) SELECT track_id, round(coalesce(tempo, 120), 4) AS tempo FROM (SELECT DISTINCT track_id FROM mel) LEFT JOIN f USING (track_id)"""
+)
 def tempo_E(spark: SparkSession, d: str) -> DataFrame:
     return rounded(features.estimate_tempo(melodic(event_notes(spark, d)), ["track_id"], unit=60.0), "tempo")
 

@@ -70,11 +70,19 @@ _CHORD = """pr AS (SELECT file_id, track_id, start, CAST(round_even(pitch / 12,
 _FW = "WINDOW w AS (PARTITION BY file_id, track_id ORDER BY start)"
 
 
-@query(f"WITH {L}, {_CHORD}, gr AS ({_levels('token', 2, 3, 'tk', 'file_id, track_id', _FW)}) SELECT file_id, track_id, n, gram, array_to_string(list_sort(list(pos)), ',') AS positions, count(*) * n AS score FROM gr GROUP BY file_id, track_id, n, gram HAVING count(*) >= 2")
+def _longer(source: str, keys: str, least: int, most: int) -> str:
+    """SQL: lv (keys, pos, n, gram, c), windows of ``source`` (keys, pos, token) that repeat, each length made from the repeats of the one before."""
+    same = " AND ".join(f"l.{k} = t.{k}" for k in keys.split(", "))
+    held = ", ".join(f"l.{k}" for k in keys.split(", "))
+    first = "CAST(token AS VARCHAR)" + "".join(f" || ',' || lead(token, {k}) OVER w" for k in range(1, least))
+    return f"""lv AS (SELECT {keys}, pos, n, gram, count(*) OVER (PARTITION BY {keys}, gram) AS c FROM (SELECT {keys}, pos, {least} AS n, {first} AS gram FROM {source} WINDOW w AS (PARTITION BY {keys} ORDER BY pos)) WHERE gram IS NOT NULL
+  UNION ALL SELECT *, count(*) OVER (PARTITION BY {keys}, gram) AS c FROM (SELECT {held}, l.pos, l.n + 1 AS n, l.gram || ',' || t.token AS gram FROM lv l JOIN {source} t ON {same} AND t.pos = l.pos + l.n WHERE l.c > 1 AND l.n < {most}))"""
+
+
+@query(f"WITH RECURSIVE {L}, {_CHORD}, nt AS (SELECT file_id, track_id, row_number() OVER (PARTITION BY file_id, track_id ORDER BY start) - 1 AS pos, token FROM tk), {_longer('nt', 'file_id, track_id', 2, 100)} SELECT file_id, track_id, n, gram, array_to_string(list_sort(list(pos)), ',') AS positions, count(*) * n AS score FROM lv WHERE c > 1 GROUP BY file_id, track_id, n, gram")
 def chord_motifs_L(spark: SparkSession, d: str) -> DataFrame:
     tokens = g.chord_tokens(_lines(spark, d), 30, octave_bucket("pitch"))
-    seqs = g.sequences(tokens, F.col("token"), FILE_TRACK, ("start",))
-    found = g.motifs(g.grams(seqs, 2, 3), 2)
+    found = sequential.long_motifs(tokens, F.col("token"), 2, 100, order="start")
     return found.select(*FILE_TRACK, "n", joined("gram").alias("gram"), joined("positions").alias("positions"), "score")
 
 
@@ -101,9 +109,9 @@ def arpeggio_E(spark: SparkSession, d: str) -> DataFrame:
 _OCT = "CAST(round_even(pitch / 12, 0) AS INT)"
 
 
-@query(f"WITH {E}, gr AS ({_levels(_OCT, 3, 8)}), {_MOTIFS} SELECT track_id, rank, n, gram, count FROM (SELECT *, CAST(row_number() OVER (PARTITION BY track_id ORDER BY count DESC, n DESC, positions[1], gram) AS INT) AS rank FROM mo) WHERE rank <= 10")
+@query(f"WITH RECURSIVE {E}, nt AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY start, note_id) - 1 AS pos, {_OCT} AS token FROM mel), {_longer('nt', 'track_id', 3, 20)}, mo AS (SELECT track_id, n, gram, min(pos) AS first, count(*) AS count FROM lv WHERE c > 1 GROUP BY ALL) SELECT track_id, rank, n, gram, count FROM (SELECT *, CAST(row_number() OVER (PARTITION BY track_id ORDER BY count DESC, n DESC, first, gram) AS INT) AS rank FROM mo) WHERE rank <= 10")
 def octave_patterns_E(spark: SparkSession, d: str) -> DataFrame:
-    found = g.motifs(g.grams(g.sequences(_notes(spark, d), octave_bucket("pitch"), TRACK), 3, 8, TRACK), 2, TRACK).withColumn("gram", joined("gram"))
+    found = sequential.long_motifs(_notes(spark, d), octave_bucket("pitch"), 3, 20, TRACK).withColumn("gram", joined("gram"))
     return g.top_motifs(found, [F.col("count").desc(), F.col("n").desc()], 10, TRACK).select("track_id", "rank", "n", "gram", "count")
 
 

@@ -152,13 +152,27 @@ def boundary_ranges_E(spark: SparkSession, d: str) -> DataFrame:
     return rounded(t.boundary_ranges(marks, "pos", TRACK), "start", "end", digits=3)
 
 
-@query()
+def _spaced_sql(marks: str, least: float, most: float) -> str:
+    """SQL: kept (track_id, pos) of ``marks`` (track_id, pos): a walk over a track's marks, with steps of ``most`` in between."""
+    return f"""mk AS (SELECT track_id, pos, row_number() OVER (PARTITION BY track_id ORDER BY pos) AS k FROM (SELECT DISTINCT track_id, pos FROM {marks})),
+  wk AS (SELECT track_id, k, pos AS last, CAST(NULL AS DOUBLE) AS from_, CAST(0 AS BIGINT) AS steps, TRUE AS own FROM mk WHERE k = 1
+    UNION ALL SELECT track_id, k, CASE WHEN pos - (last + steps * {most}) >= {least} THEN pos ELSE last + steps * {most} END, last, steps, pos - (last + steps * {most}) >= {least} FROM (SELECT w.track_id, m.k, m.pos, w.last, CAST(greatest(ceil((m.pos - w.last) / {most}) - 1, 0) AS BIGINT) AS steps FROM wk w JOIN mk m ON m.track_id = w.track_id AND m.k = w.k + 1)),
+  kept AS (SELECT track_id, last AS pos FROM wk WHERE own UNION ALL SELECT track_id, from_ + {most} * unnest(range(1, steps + 1)) FROM wk WHERE steps > 0)"""
+
+
+@query(f"WITH RECURSIVE {E}, {_SEG}, {_SUMMARY}, bm AS (SELECT track_id, start AS pos FROM sm), {_spaced_sql('bm', 2 * BAR_E, 8 * BAR_E)} SELECT track_id, round(pos, 3) AS pos FROM kept")
 def spaced_boundaries_E(spark: SparkSession, d: str) -> DataFrame:
     marks = t.segment_summary(_segments(spark, d), TRACK).select("track_id", F.col("start").alias("pos"))
     return rounded(t.spaced_boundaries(marks, 2 * BAR_E, 8 * BAR_E, "pos", TRACK), "pos", digits=3)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {E}, {_SEG}, {_SUMMARY}, rk AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY start, "end") AS k, max(n_notes) OVER () AS _ FROM sm),
+  fo AS (SELECT track_id, k, 1 AS part, start, "end", n_notes FROM rk WHERE k = 1
+    UNION ALL SELECT f.track_id, r.k, CASE WHEN r."end" - r.start < {2 * BAR_E} OR f."end" - f.start < {2 * BAR_E} THEN f.part ELSE f.part + 1 END, CASE WHEN r."end" - r.start < {2 * BAR_E} OR f."end" - f.start < {2 * BAR_E} THEN least(f.start, r.start) ELSE r.start END,
+    CASE WHEN r."end" - r.start < {2 * BAR_E} OR f."end" - f.start < {2 * BAR_E} THEN greatest(f."end", r."end") ELSE r."end" END, CASE WHEN r."end" - r.start < {2 * BAR_E} OR f."end" - f.start < {2 * BAR_E} THEN greatest(f.n_notes, r.n_notes) ELSE r.n_notes END FROM fo f JOIN rk r ON r.track_id = f.track_id AND r.k = f.k + 1)
+  SELECT track_id, round(start, 3) AS start, round("end", 3) AS "end", n_notes AS repetitions, CAST(-1 AS BIGINT) AS motif_id FROM (SELECT *, row_number() OVER (PARTITION BY track_id, part ORDER BY k DESC) AS z FROM fo) WHERE z = 1"""
+)
 def merge_small_E(spark: SparkSession, d: str) -> DataFrame:
     found = t.segment_summary(_segments(spark, d), TRACK).select("track_id", "start", "end", F.col("n_notes").alias("repetitions"), F.lit(-1).alias("motif_id"))
     return rounded(t.merge_small(found, 2 * BAR_E, TRACK), "start", "end", digits=3)
@@ -195,12 +209,12 @@ def positional_ratio_L(spark: SparkSession, d: str) -> DataFrame:
 def _tokens(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     bars = t.bars(_lines(spark, d), BAR_L)
     seqs = classify.bar_sequences(bars, classify.mean_octave(F.col("notes")))
-    return bars, seqs, classify.bar_patterns(seqs, 2, 4)
+    return bars, seqs, classify.bar_patterns(seqs, 2, 8)
 
 
-_PAT = f"""tok AS (SELECT file_id, track_id, bar, CAST(round_even(avg(pitch) / 12, 0) AS INT) AS token FROM inb GROUP BY ALL), sq AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY file_id, track_id) AS size,
-  token || ',' || lead(token, 1) OVER w AS g2, token || ',' || lead(token, 1) OVER w || ',' || lead(token, 2) OVER w AS g3, token || ',' || lead(token, 1) OVER w || ',' || lead(token, 2) OVER w || ',' || lead(token, 3) OVER w AS g4 FROM tok WINDOW w AS (PARTITION BY file_id, track_id ORDER BY bar)),
-  gr AS (SELECT file_id, track_id, pos, size, 2 AS n, g2 AS gram FROM sq UNION ALL SELECT file_id, track_id, pos, size, 3, g3 FROM sq UNION ALL SELECT file_id, track_id, pos, size, 4, g4 FROM sq),
+_GRAMS = ", ".join(" || ',' || ".join(["token", *[f"lead(token, {k}) OVER w" for k in range(1, n)]]) + f" AS g{n}" for n in range(2, 9))
+_PAT = f"""tok AS (SELECT file_id, track_id, bar, CAST(round_even(avg(pitch) / 12, 0) AS INT) AS token FROM inb GROUP BY ALL), sq AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY file_id, track_id) AS size, {_GRAMS} FROM tok WINDOW w AS (PARTITION BY file_id, track_id ORDER BY bar)),
+  gr AS ({" UNION ALL ".join(f"SELECT file_id, track_id, pos, size, {n} AS n, g{n} AS gram FROM sq" for n in range(2, 9))}),
   pat AS (SELECT file_id, track_id, n, gram, list_sort(list(pos)) AS positions, count(*) AS count FROM gr WHERE gram IS NOT NULL AND n <= size // 2 GROUP BY ALL HAVING count(*) > 1)"""
 _REP = "occ AS (SELECT file_id, track_id, n, unnest(positions) AS pos FROM pat), rep AS (SELECT DISTINCT s.file_id, s.track_id, s.bar FROM sq s JOIN occ o ON s.file_id = o.file_id AND s.track_id = o.track_id AND s.pos >= o.pos AND s.pos < o.pos + o.n), nonrep AS (SELECT file_id, track_id, bar FROM sq ANTI JOIN rep USING (file_id, track_id, bar))"
 
@@ -296,6 +310,11 @@ def structure_E(spark: SparkSession, d: str) -> DataFrame:
     return structure.structure_segments(_notes(spark, d), BAR_E / 4, group=TRACK)
 
 
-@query()
+@query(
+    f"""WITH {L}, {_BARS}, {_ORD}, al AS (SELECT a.file_id, a.track_id, a.bar, b.bar AS other, o.k, o.pitch, o.rel, o.dur, o.velocity FROM sz a JOIN sz b ON a.file_id = b.file_id AND a.track_id = b.track_id AND a.bar < b.bar JOIN ob o ON o.file_id = a.file_id AND o.track_id = a.track_id AND o.bar = a.bar
+  UNION ALL SELECT a.file_id, a.track_id, a.bar, b.bar, o.k, -o.pitch, -o.rel, -o.dur, -o.velocity FROM sz a JOIN sz b ON a.file_id = b.file_id AND a.track_id = b.track_id AND a.bar < b.bar JOIN ob o ON o.file_id = b.file_id AND o.track_id = b.track_id AND o.bar = b.bar),
+  df AS (SELECT file_id, track_id, bar, other, k, pow(sum(pitch), 2) + pow(sum(rel), 2) + pow(sum(dur), 2) + pow(sum(velocity), 2) AS sq FROM al GROUP BY ALL), mx AS (SELECT file_id, track_id, max(n) AS most FROM sz GROUP BY ALL), sc AS (SELECT file_id, track_id, bar, other, 1 - sqrt(sum(sq)) / (sqrt(4 * any_value(most)) * 127) AS similarity FROM df JOIN mx USING (file_id, track_id) GROUP BY file_id, track_id, bar, other)
+  SELECT file_id, track_id, CAST(bar AS BIGINT) AS bar, CAST(other AS BIGINT) AS other, round(similarity, 4) AS similarity FROM sc WHERE similarity > 0.1"""
+)
 def close_bars_L(spark: SparkSession, d: str) -> DataFrame:
     return rounded(distance.close_bars(t.bars(_lines(spark, d), BAR_L)), "similarity")
