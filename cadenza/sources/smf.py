@@ -176,3 +176,13 @@ def notes_track(notes: list[tuple[int, int, int, int]], channel: int = 0, progra
         out.append(Event(at - now, kind, channel, pitch, velocity))
         now = at
     return out
+
+
+def conductor_track(changes: list[tuple[int, str, int | None, int | None, str | None]], first: int = 0) -> list[Event]:
+    """A track of (tick, kind, value1, value2, text) changes, ticks from ``first`` on; what comes before it holds from the beginning."""
+    out, now = [], 0
+    for tick, kind, value1, value2, text in changes:
+        at = max(0, tick - first)
+        out.append(Event(at - now, kind, None, value1, value2, text))
+        now = at
+    return out

@@ -114,3 +114,15 @@ def replay(df: DataFrame, make: Callable[[DataFrame], DataFrame], name: str, fol
     query.processAllAvailable()
     query.stop()
     return spark.table(name)
+
+
+def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that its source holds now and return the table it leaves at ``folder``; ``complete``: the last whole result."""
+    spark = stream.sparkSession
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "complete":
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/table")).start()
+    else:
+        query = writer.format("parquet").start(f"{folder}/table")
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/table")
