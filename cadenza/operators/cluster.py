@@ -177,8 +177,3 @@ def hmm(notes: DataFrame, states: int = 2, group: list[str] = GROUP) -> DataFram
             yield int(i), int(s)
 
     return per_group(notes, group, ["note_id", "start", "pitch", "dur"], "note long, state int", run)
-
-
-def sequence_labels(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """(id, label) of chord and duration windows."""
-    return kmeans(vectors, k, seed)[0].select("id", "label")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.expr import match_ratio
 from cadenza.operators.sequential import per_group
+from cadenza.operators.structure import prominent_peaks
 
 GROUP = ["file_id", "track_id"]
 
@@ -100,13 +101,29 @@ def shared_ratio(a: list, b: list) -> float:
 
 
 def sequence_similarity(a: dict[str, list], b: dict[str, list]) -> float:
-    """0.4 of the pitches', 0.2 each of the durations', intervals' and rhythms' shared ratio; rhythm is the share of each duration."""
-    def parts(x: dict[str, list]) -> tuple[list, ...]:
-        pitch, dur = np.asarray(x["pitch"]), np.asarray(x["dur"], dtype=float)
-        total = dur.sum()
-        return pitch.tolist(), dur.tolist(), np.diff(pitch).tolist(), np.round(dur / total, 6).tolist() if total else [0.0] * len(dur)
+    """0.4 of the pitches' shared ratio, and 0.2 each of the closeness of durations, place by place, and of the intervals' and the durations' shared ratio.
 
-    return float(sum(w * shared_ratio(x, y) for w, x, y in zip((0.4, 0.2, 0.2, 0.2), parts(a), parts(b), strict=True)))
+    1 for two empty sequences, 0 for one; durations that are all 0 are as close as can be.
+    """
+    if not len(a["pitch"]) or not len(b["pitch"]):
+        return float(len(a["pitch"]) == len(b["pitch"]))
+    durations, total = list(zip(a["dur"], b["dur"], strict=False)), sum(a["dur"]) + sum(b["dur"])
+    close = 1 - sum(abs(x - y) for x, y in durations) / total if total else 1.0
+    parts = [(0.4, a["pitch"], b["pitch"]), (0.2, np.diff(a["pitch"]).tolist(), np.diff(b["pitch"]).tolist()), (0.2, a["dur"], b["dur"])]
+    return float(0.2 * close + sum(w * SequenceMatcher(None, x, y).ratio() for w, x, y in parts))
+
+
+def adjacent_sequence_similarity(bars: DataFrame, group: list[str] = GROUP) -> DataFrame:
+    """(group, bar, previous, similarity): ``sequence_similarity`` of neighbouring non-empty bars, batch by batch."""
+    w = Window.partitionBy(*group).orderBy("bar")
+    parts = {"__p": F.transform("notes", lambda n: n["pitch"].cast("double")), "__d": F.transform("notes", lambda n: n["dur"].cast("double"))}
+    pairs = bars.withColumns(parts).withColumns({"previous": F.lag("bar").over(w), "__q": F.lag("__p").over(w), "__e": F.lag("__d").over(w)}).where("previous is not null")
+
+    def run(p: pd.Series, d: pd.Series, q: pd.Series, e: pd.Series) -> pd.Series:
+        rows = zip(p, d, q, e, strict=True)
+        return pd.Series([sequence_similarity({"pitch": list(w), "dur": list(x)}, {"pitch": list(y), "dur": list(z)}) for w, x, y, z in rows], dtype="float64")
+
+    return pairs.select(*group, "bar", "previous", F.pandas_udf(run, "double")("__q", "__e", "__p", "__d").alias("similarity"))
 
 
 def shared_ratio_of(a: Column | str, b: Column | str) -> Column:
@@ -156,12 +173,32 @@ def close_bars(bars: DataFrame, threshold: float = 0.9, group: list[str] = GROUP
     return scored.where(F.col("similarity") > 1 - threshold)
 
 
-def self_similarity(rows: DataFrame, key: str, columns: list[str], group: list[str] | None = None) -> DataFrame:
-    """(group, i, j, distance) with i < j: the upper half of the distance matrix of the rows' vectors, within groups if given."""
-    group = group or []
+def self_similarity(rows: DataFrame, key: str, columns: list[str], group: list[str]) -> DataFrame:
+    """(group, i, j, distance) with i < j: the upper half of the distance matrix of the rows' vectors, group by group; a group is one track's frames."""
     vec = F.array(*[F.col(c).cast("double") for c in columns])
     a = rows.select(*[F.col(g).alias(f"__{g}") for g in group], F.col(key).alias("i"), vec.alias("__a"))
     b = rows.select(*group, F.col(key).alias("j"), vec.alias("__b"))
     on = [F.col(f"__{g}") == F.col(g) for g in group] + [F.col("i") < F.col("j")]
     d2 = F.aggregate(F.zip_with("__a", "__b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     return a.join(b, on).select(*group, "i", "j", F.sqrt(d2).alias("distance"))
+
+
+def chroma_frames(notes: DataFrame, frame: float, group: list[str] = GROUP) -> DataFrame:
+    """(group, frame, c0..c11): the velocities of each pitch class's onsets in every frame that has any."""
+    return notes.groupBy(*group, F.floor(F.col("start") / frame).alias("frame")).agg(*[F.sum(F.when(F.pmod("pitch", F.lit(12)) == k, F.col("velocity")).otherwise(0)).alias(f"c{k}") for k in range(12)])
+
+
+def moving_kernel(rows: DataFrame, value: str, at: str, weights: tuple[float, ...] = (0.5, 1, 1, 1, 1, 1, 0.5), group: list[str] = GROUP) -> DataFrame:
+    """``rows`` with ``novelty``: the weighted sum of ``value`` about each row in the order of ``at``; 0 where the kernel reaches over an end."""
+    w, half = Window.partitionBy(*group).orderBy(at), len(weights) // 2
+    parts = [x * (F.lag(value, half - k).over(w) if k < half else F.lead(value, k - half).over(w) if k > half else F.col(value)) for k, x in enumerate(weights)]
+    return rows.withColumn("novelty", F.coalesce(sum(parts[1:], parts[0]), F.lit(0.0)))
+
+
+def novelty_peaks(rows: DataFrame, at: str, distance: int = 10, prominence: float = 0.1, group: list[str] = GROUP) -> DataFrame:
+    """(group, at) of the prominent peaks of ``novelty`` in the order of ``at``, one track a call."""
+
+    def run(pdf: pd.DataFrame) -> Iterator[tuple]:
+        yield from ((int(pdf["note_id"].iloc[k]),) for k in prominent_peaks(pdf["novelty"].to_numpy(dtype=float), distance, prominence))
+
+    return per_group(rows.withColumns({"note_id": F.col(at), "start": F.col(at)}), group, ["note_id", "start", "novelty"], f"{at} long", run)

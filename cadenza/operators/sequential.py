@@ -73,25 +73,28 @@ def repeated_patterns(start: np.ndarray, end: np.ndarray, pitch: np.ndarray, dur
         i = after
 
 
-def repeat_detector(notes: DataFrame, bar: float, tolerance: float = 10, mode: str = "repeat", group: list[str] | None = None) -> DataFrame:
+def repeat_detector(notes: DataFrame, bar: float | str, tolerance: float = 10, mode: str = "repeat", group: list[str] | None = None, neighbours: int = 0) -> DataFrame:
     """(group, pattern_no, first, length, start, end, pitches) of each segment's patterns; ``group`` ends in the segment.
 
-    A call handles a whole track, since most segments are too short for a call of their own; patterns never cross segments.
+    ``bar`` is a length or the column that holds the one in force at each note.  A call handles a whole track, since most segments are too short for a call of
+    their own; patterns never cross segments.
     """
     *keys, segment = group or [*GROUP, "segment_id"]
+    own = [bar] if isinstance(bar, str) else []
 
     def run(pdf: pd.DataFrame) -> Iterator[tuple]:
         start, end, pitch, dur, number = (pdf[c].to_numpy() for c in ("start", "end", "pitch", "dur", segment))
+        bars = pdf[bar].to_numpy(dtype=float) if own else np.full(len(pdf), float(bar))
         order = np.argsort(number, kind="stable")
         cuts = np.flatnonzero(np.diff(number[order])) + 1
         for at in np.split(order, cuts):
             if len(at) < 4:  # three notes and what repeats the first of them
                 continue
-            for k, (first, length) in enumerate(repeated_patterns(start[at], end[at], pitch[at], dur[at], bar, tolerance, mode)):
+            for k, (first, length) in enumerate(repeated_patterns(start[at], end[at], pitch[at], dur[at], bars[at], tolerance, mode, neighbours)):
                 part = at[first : first + length]
                 yield int(number[at[0]]), k, first, length, float(start[part[0]]), float(end[part].max()), ",".join(map(str, pitch[part]))
 
-    return per_group(notes, keys, ["note_id", "start", "end", "pitch", "dur", segment], f"{segment} long, pattern_no int, first int, length int, start double, end double, pitches string", run)
+    return per_group(notes, keys, ["note_id", "start", "end", "pitch", "dur", segment, *own], f"{segment} long, pattern_no int, first int, length int, start double, end double, pitches string", run)
 
 
 def dedupe_in_segment(patterns: DataFrame, segment: list[str], compat: bool = False) -> DataFrame:

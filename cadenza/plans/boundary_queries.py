@@ -12,7 +12,7 @@ from cadenza.operators import timeline as t
 from cadenza.plans.feature_queries import EVERY
 from cadenza.plans.oracle import E, L
 from cadenza.plans.registry import query, rounded
-from cadenza.plans.timeline_queries import _BARS, _SILENT, BAR_E, BAR_L, FILE_TRACK, LOUD, TRACK, _lines, _notes
+from cadenza.plans.timeline_queries import _BARS, _SILENT, BAR_E, BAR_L, FILE_TRACK, LOUD, TRACK, _lines, _notes, _spaced_sql
 from cadenza.sources.tables import vectors
 
 
@@ -26,7 +26,16 @@ def pattern_marks_E(spark: SparkSession, d: str) -> DataFrame:
     return rounded(b.pattern_marks(_notes(spark, d), [pitch_class("pitch")], 2, LOUD, 20, TRACK), "pos", digits=3)
 
 
-@query()
+def _marked(k: int, token: str) -> str:
+    """SQL: h{k} (track_id, start, stop), the occurrences of the first frequent pairs of a token."""
+    return f"""w{k} AS (SELECT track_id, start, start + dur + lead(dur) OVER o AS stop, row_number() OVER o - 1 AS pos, {token} AS a, lead({token}) OVER o AS b FROM mel WINDOW o AS (PARTITION BY track_id ORDER BY start, note_id)),
+  f{k} AS (SELECT track_id, a, b FROM (SELECT track_id, a, b, row_number() OVER (PARTITION BY track_id ORDER BY min(pos)) AS k FROM w{k} WHERE b IS NOT NULL GROUP BY track_id, a, b HAVING count(*) >= 2) WHERE k <= 20), h{k} AS (SELECT DISTINCT track_id, start, stop FROM w{k} SEMI JOIN f{k} USING (track_id, a, b))"""
+
+
+@query(
+    f"""WITH RECURSIVE {E}, {_SILENT}, {_marked(1, 'pitch % 12')}, {_marked(2, 'dur')}, h AS (SELECT * FROM h1 UNION SELECT * FROM h2), bm AS (SELECT track_id, unnest([start, stop]) AS pos FROM h WHERE NOT EXISTS (SELECT 1 FROM silent s WHERE s.track_id = h.track_id AND h.start >= s.start AND h.start < s."end")),
+  {_spaced_sql('bm', 2 * BAR_E, 8 * BAR_E)} SELECT track_id, round(pos, 3) AS pos FROM kept"""
+)
 def pattern_boundaries_E(spark: SparkSession, d: str) -> DataFrame:
     return rounded(b.pattern_boundaries(_notes(spark, d), [pitch_class("pitch"), F.col("dur")], 2, BAR_E, LOUD, group=TRACK), "pos", digits=3)
 

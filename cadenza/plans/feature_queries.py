@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators import cluster, distance, features, search
@@ -172,9 +172,33 @@ def tempo_E(spark: SparkSession, d: str) -> DataFrame:
     return rounded(features.estimate_tempo(melodic(event_notes(spark, d)), ["track_id"], unit=60.0), "tempo")
 
 
-@query(f"WITH {E}, {LAGS}, {F10} SELECT a.track_id AS i, b.track_id AS j, round(sqrt({' + '.join(f'pow(a.{c} - b.{c}, 2)' for c in FEATURES)}), 4) AS distance FROM f a JOIN f b ON a.track_id < b.track_id")
+_CHROMA = f"fr AS (SELECT track_id, CAST(floor(start / 86400) AS BIGINT) AS frame, {', '.join(f'sum(CASE WHEN pitch % 12 = {k} THEN velocity ELSE 0 END)::DOUBLE AS c{k}' for k in range(12))} FROM mel GROUP BY ALL)"
+
+
+@query(f"WITH {E}, {_CHROMA} SELECT a.track_id, a.frame AS i, b.frame AS j, round(sqrt({' + '.join(f'pow(a.c{k} - b.c{k}, 2)' for k in range(12))}), 4) AS distance FROM fr a JOIN fr b ON a.track_id = b.track_id AND a.frame < b.frame")
 def ssm_E(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(distance.self_similarity(tracks10(spark, d), "track_id", FEATURES), "distance")
+    frames = distance.chroma_frames(melodic(event_notes(spark, d)), 86_400, ["track_id"])
+    return rounded(distance.self_similarity(frames, "frame", [f"c{k}" for k in range(12)], ["track_id"]), "distance")
+
+
+_STEPS = "st AS (SELECT track_id, row_number() OVER w AS pos, sqrt(pow(pitch - lag(pitch) OVER w, 2) + pow(dur - lag(dur) OVER w, 2)) AS step FROM mel WINDOW w AS (PARTITION BY track_id ORDER BY start, note_id))"
+
+
+def _novelty(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("track_id").orderBy("start", "note_id")
+    step = F.sqrt(F.pow(F.col("pitch") - F.lag("pitch").over(w), 2) + F.pow(F.col("dur") - F.lag("dur").over(w), 2))
+    steps = melodic(event_notes(spark, d)).select("track_id", F.row_number().over(w).cast("long").alias("pos"), step.alias("step")).where("step is not null")
+    return distance.moving_kernel(steps, "step", "pos", group=["track_id"])
+
+
+@query(f"WITH {E}, {_STEPS}, s2 AS (SELECT * FROM st WHERE step IS NOT NULL) SELECT track_id, pos, round(coalesce(0.5 * lag(step, 3) OVER w + lag(step, 2) OVER w + lag(step, 1) OVER w + step + lead(step, 1) OVER w + lead(step, 2) OVER w + 0.5 * lead(step, 3) OVER w, 0), 4) AS novelty FROM s2 WINDOW w AS (PARTITION BY track_id ORDER BY pos)")
+def novelty_E(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_novelty(spark, d).select("track_id", "pos", "novelty"), "novelty")
+
+
+@query()
+def novelty_peaks_E(spark: SparkSession, d: str) -> DataFrame:
+    return distance.novelty_peaks(_novelty(spark, d), "pos", 10, 0.1, ["track_id"])
 
 
 _CENTERS = f"{_V}, c AS (SELECT label, i, avg(val) AS center FROM x GROUP BY label, i)"

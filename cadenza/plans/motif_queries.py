@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.functions.expr import note_name, octave_bucket, pitch_class
 from cadenza.operators import ngrams as g
 from cadenza.operators import sequential
-from cadenza.plans.oracle import E, L
+from cadenza.plans.oracle import E, L, longer
 from cadenza.plans.registry import joined, query, rounded
 from cadenza.plans.timeline_queries import _SEG, _lines, _notes, _segments
 from cadenza.sources.tables import table
@@ -70,16 +70,7 @@ _CHORD = """pr AS (SELECT file_id, track_id, start, CAST(round_even(pitch / 12,
 _FW = "WINDOW w AS (PARTITION BY file_id, track_id ORDER BY start)"
 
 
-def _longer(source: str, keys: str, least: int, most: int) -> str:
-    """SQL: lv (keys, pos, n, gram, c), windows of ``source`` (keys, pos, token) that repeat, each length made from the repeats of the one before."""
-    same = " AND ".join(f"l.{k} = t.{k}" for k in keys.split(", "))
-    held = ", ".join(f"l.{k}" for k in keys.split(", "))
-    first = "CAST(token AS VARCHAR)" + "".join(f" || ',' || lead(token, {k}) OVER w" for k in range(1, least))
-    return f"""lv AS (SELECT {keys}, pos, n, gram, count(*) OVER (PARTITION BY {keys}, gram) AS c FROM (SELECT {keys}, pos, {least} AS n, {first} AS gram FROM {source} WINDOW w AS (PARTITION BY {keys} ORDER BY pos)) WHERE gram IS NOT NULL
-  UNION ALL SELECT *, count(*) OVER (PARTITION BY {keys}, gram) AS c FROM (SELECT {held}, l.pos, l.n + 1 AS n, l.gram || ',' || t.token AS gram FROM lv l JOIN {source} t ON {same} AND t.pos = l.pos + l.n WHERE l.c > 1 AND l.n < {most}))"""
-
-
-@query(f"WITH RECURSIVE {L}, {_CHORD}, nt AS (SELECT file_id, track_id, row_number() OVER (PARTITION BY file_id, track_id ORDER BY start) - 1 AS pos, token FROM tk), {_longer('nt', 'file_id, track_id', 2, 100)} SELECT file_id, track_id, n, gram, array_to_string(list_sort(list(pos)), ',') AS positions, count(*) * n AS score FROM lv WHERE c > 1 GROUP BY file_id, track_id, n, gram")
+@query(f"WITH RECURSIVE {L}, {_CHORD}, nt AS (SELECT file_id, track_id, row_number() OVER (PARTITION BY file_id, track_id ORDER BY start) - 1 AS pos, token FROM tk), {longer('nt', 'file_id, track_id', 2, 100)} SELECT file_id, track_id, n, gram, array_to_string(list_sort(list(pos)), ',') AS positions, count(*) * n AS score FROM lv WHERE c > 1 GROUP BY file_id, track_id, n, gram")
 def chord_motifs_L(spark: SparkSession, d: str) -> DataFrame:
     tokens = g.chord_tokens(_lines(spark, d), 30, octave_bucket("pitch"))
     found = sequential.long_motifs(tokens, F.col("token"), 2, 100, order="start")
@@ -106,10 +97,27 @@ def arpeggio_E(spark: SparkSession, d: str) -> DataFrame:
     return g.arpeggios(g.windows(_notes(spark, d), note_name("pitch"), 3, TRACK), TRACK).withColumn("gram", joined("gram"))
 
 
+_ON = f"ev AS (SELECT track_id, start AS time, note_id * 2 AS seq, {_NAMES}[pitch % 12 + 1] AS name, 1 AS step FROM mel UNION ALL SELECT track_id, start + 1000 * dur, note_id * 2 + 1, {_NAMES}[pitch % 12 + 1], -1 FROM mel)"
+_LEVELS = ", ".join(f"sum(CASE WHEN name = '{n}' THEN step ELSE 0 END) OVER w > 0 AS n{k}" for k, n in enumerate(("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")))
+
+
+def _only(*names: int) -> str:
+    return " AND ".join(f"n{k}" if k in names else f"NOT n{k}" for k in range(12))
+
+
+@query(f"WITH {E}, {_ON}, lv AS (SELECT track_id, time, {_LEVELS} FROM ev WINDOW w AS (PARTITION BY track_id ORDER BY time, seq ROWS UNBOUNDED PRECEDING)) SELECT track_id, round(time, 3) AS time, CASE WHEN n0 THEN 'C,E,G' ELSE 'D,G,B' END AS chord FROM lv WHERE ({_only(0, 4, 7)}) OR ({_only(2, 7, 11)})")
+def cadences_E(spark: SparkSession, d: str) -> DataFrame:
+    # a note sounds for its value in thousands of seconds, so that some sound together
+    notes = _notes(spark, d)
+    on = notes.select("track_id", F.col("start").alias("time"), (F.col("note_id") * 2).alias("seq"), note_name("pitch").alias("name"), F.lit(1).alias("step"))
+    off = notes.select("track_id", (F.col("start") + 1000 * F.col("dur")).alias("time"), (F.col("note_id") * 2 + 1).alias("seq"), note_name("pitch").alias("name"), F.lit(-1).alias("step"))
+    return rounded(g.cadences(on.unionByName(off), TRACK).withColumn("chord", joined("chord")), "time", digits=3)
+
+
 _OCT = "CAST(round_even(pitch / 12, 0) AS INT)"
 
 
-@query(f"WITH RECURSIVE {E}, nt AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY start, note_id) - 1 AS pos, {_OCT} AS token FROM mel), {_longer('nt', 'track_id', 3, 20)}, mo AS (SELECT track_id, n, gram, min(pos) AS first, count(*) AS count FROM lv WHERE c > 1 GROUP BY ALL) SELECT track_id, rank, n, gram, count FROM (SELECT *, CAST(row_number() OVER (PARTITION BY track_id ORDER BY count DESC, n DESC, first, gram) AS INT) AS rank FROM mo) WHERE rank <= 10")
+@query(f"WITH RECURSIVE {E}, nt AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY start, note_id) - 1 AS pos, {_OCT} AS token FROM mel), {longer('nt', 'track_id', 3, 20)}, mo AS (SELECT track_id, n, gram, min(pos) AS first, count(*) AS count FROM lv WHERE c > 1 GROUP BY ALL) SELECT track_id, rank, n, gram, count FROM (SELECT *, CAST(row_number() OVER (PARTITION BY track_id ORDER BY count DESC, n DESC, first, gram) AS INT) AS rank FROM mo) WHERE rank <= 10")
 def octave_patterns_E(spark: SparkSession, d: str) -> DataFrame:
     found = sequential.long_motifs(_notes(spark, d), octave_bucket("pitch"), 3, 20, TRACK).withColumn("gram", joined("gram"))
     return g.top_motifs(found, [F.col("count").desc(), F.col("n").desc()], 10, TRACK).select("track_id", "rank", "n", "gram", "count")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import classify, distance, sequential, structure
 from cadenza.operators import timeline as t
-from cadenza.plans.oracle import E, L
+from cadenza.plans.oracle import E, L, longer
 from cadenza.plans.registry import joined, query, r, rounded
 from cadenza.sources.tables import event_notes, lineitem_notes, melodic
 
@@ -252,21 +252,48 @@ def segment_classes_L(spark: SparkSession, d: str) -> DataFrame:
 
 # decisions in order
 
+def _barred(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of coarse pitches with the bar in force at each note: quarters of a day, three to five of them since the last signature, four before it."""
+    notes = event_notes(spark, d)
+    changes = notes.where("note_id % 10 = 3").select("track_id", F.col("start").alias("time"), (3 + F.col("note_id") % 3).alias("numerator"))
+    segments = t.silence_segments(melodic(notes), BAR_E, TRACK).withColumn("pitch", (F.col("pitch") / 32).cast("int"))
+    return t.as_of(segments, changes, "start", "numerator", TRACK).withColumn("bar", F.coalesce("numerator", F.lit(4)) * BAR_E / 4).drop("numerator")
+
+
 @query()
 def repeat_detector_E(spark: SparkSession, d: str) -> DataFrame:
-    octaves = _segments(spark, d).withColumn("pitch", (F.col("pitch") / 32).cast("int"))
-    return sequential.repeat_detector(octaves, 0, 60, "repeat", ["track_id", "segment_id"])
+    return sequential.repeat_detector(_barred(spark, d), "bar", 60, "repeat", ["track_id", "segment_id"])
 
 
 @query()
 def repeat_runs_E(spark: SparkSession, d: str) -> DataFrame:
-    octaves = _segments(spark, d).withColumn("pitch", (F.col("pitch") / 32).cast("int"))
-    return sequential.repeat_detector(octaves, 0, 60, "run", ["track_id", "segment_id"])
+    return sequential.repeat_detector(_barred(spark, d), "bar", 60, "run", ["track_id", "segment_id"], 7)
 
 
-@query()
+def _numbered(token: str, source: str = "mel", keys: str = "track_id") -> str:
+    return f"nt AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY start, note_id) - 1 AS pos, {token} AS token FROM {source})"
+
+
+def _taken(order: str, free: str, keys: str = "track_id") -> str:
+    """SQL: acc (keys, p, q, n, c, m): occurrences of the motifs lv that a greedy walk in ``order`` accepts while ``free`` of used places and candidate; m numbers the motifs."""
+    same, held = " AND ".join(f"g.{k} = c.{k}" for k in keys.split(", ")), ", ".join(f"g.{k}" for k in keys.split(", "))
+    return f"""mo AS (SELECT {keys}, n, gram, count(*) AS c, min(pos) AS first FROM lv WHERE c > 1 GROUP BY ALL), mr AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}, first) - 1 AS m FROM mo),
+  cd AS (SELECT {keys}, l.pos AS p, l.pos + l.n - 1 AS q, l.n, r.c, r.m, row_number() OVER (PARTITION BY {keys} ORDER BY r.m, l.pos) AS k FROM lv l JOIN mr r USING ({keys}, n, gram)),
+  gw AS (SELECT DISTINCT {keys}, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS p, CAST(NULL AS BIGINT) AS q, CAST(NULL AS INT) AS n, CAST(NULL AS BIGINT) AS c, CAST(NULL AS BIGINT) AS m, FALSE AS ok FROM cd
+    UNION ALL SELECT {held}, c.k, CASE WHEN {free} THEN list_concat(g.used, range(c.p, c.q + 1)) ELSE g.used END, c.p, c.q, c.n, c.c, c.m, {free} FROM gw g JOIN cd c ON {same} AND c.k = g.k + 1),
+  acc AS (SELECT {keys}, p, q, n, c, m FROM gw WHERE ok)"""
+
+
+_LONGEST, _COMMONEST, _UNUSED = "n DESC, c DESC", "c DESC, n DESC", "len(list_intersect(g.used, range(c.p, c.q + 1))) = 0"
+
+
+@query(
+    f"""WITH RECURSIVE {E}, {_numbered('pitch // 32')}, {longer('nt', 'track_id', 3, 30)}, {_taken(_LONGEST, _UNUSED)}, sp AS (SELECT a.track_id, x.start, y."end" AS stop, c, n, m FROM acc a JOIN nt x ON x.track_id = a.track_id AND x.pos = a.p JOIN nt y ON y.track_id = a.track_id AND y.pos = a.q),
+  bf AS (SELECT *, coalesce(max(stop) OVER (PARTITION BY track_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sp), en AS (SELECT track_id, max("end") AS whole FROM mel GROUP BY track_id), la AS (SELECT en.track_id, whole, coalesce(max(stop), 0) AS done FROM en LEFT JOIN sp USING (track_id) GROUP BY ALL)
+  SELECT track_id, round(start, 3) AS start, round(stop, 3) AS "end", CAST(c AS INT) AS repetitions, CAST(n AS INT) AS length, CAST(m AS INT) AS motif_id FROM sp UNION ALL SELECT track_id, round(before, 3), round(start, 3), 1, 0, -1 FROM bf WHERE start > before UNION ALL SELECT track_id, round(done, 3), round(whole, 3), 1, 0, -1 FROM la WHERE done < whole"""
+)
 def greedy_cover_E(spark: SparkSession, d: str) -> DataFrame:
-    return sequential.cover_segments(_notes(spark, d).withColumn("pitch", (F.col("pitch") / 32).cast("int")), 3, 30, TRACK)
+    return rounded(sequential.cover_segments(_notes(spark, d).withColumn("pitch", (F.col("pitch") / 32).cast("int")), 3, 30, TRACK), "start", "end", digits=3)
 
 
 @query()
@@ -274,24 +301,76 @@ def bar_aligned_L(spark: SparkSession, d: str) -> DataFrame:
     return sequential.bar_aligned_segments(_lines(spark, d).withColumns({"pitch": (F.col("pitch") / 26).cast("int"), "dur": F.lit(30)}), BAR_L, 2, 100, 30)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {E}, {_numbered('CAST(round_even(pitch / 12, 0) AS INT)')}, {longer('nt', 'track_id', 3, 20)}, {_taken(_COMMONEST, "NOT list_contains(g.used, c.p) AND NOT list_contains(g.used, c.q) AND c.long").replace("r.c, r.m, row_number()", 'r.c, r.m, y."end" - x.start >= 2 AS long, row_number()').replace("FROM lv l JOIN mr r USING (track_id, n, gram))", "FROM lv l JOIN mr r USING (track_id, n, gram) JOIN nt x ON x.track_id = l.track_id AND x.pos = l.pos JOIN nt y ON y.track_id = l.track_id AND y.pos = l.pos + l.n - 1)").replace("SELECT track_id, l.pos AS p", "SELECT l.track_id, l.pos AS p").replace("OVER (PARTITION BY track_id ORDER BY r.m, l.pos)", "OVER (PARTITION BY l.track_id ORDER BY r.m, l.pos)")},
+  sp AS (SELECT a.track_id, x.start, y."end" AS stop FROM acc a JOIN nt x ON x.track_id = a.track_id AND x.pos = a.p JOIN nt y ON y.track_id = a.track_id AND y.pos = a.q), gp AS (SELECT *, CASE WHEN start - max(stop) OVER (PARTITION BY track_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 1 THEN 0 ELSE 1 END AS new FROM sp),
+  rn AS (SELECT *, sum(new) OVER (PARTITION BY track_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS run FROM gp) SELECT track_id, round(min(start), 3) AS start, round(max(stop), 3) AS "end" FROM rn GROUP BY track_id, run"""
+)
 def octave_segments_E(spark: SparkSession, d: str) -> DataFrame:
-    return sequential.octave_segments(_notes(spark, d), 3, 20, group=TRACK)
+    return rounded(sequential.octave_segments(_notes(spark, d), 3, 20, group=TRACK), "start", "end", digits=3)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {E}, n0 AS (SELECT *, CASE WHEN start - lag("end") OVER (PARTITION BY track_id ORDER BY start, note_id) > {10 * BAR_E} THEN 1 ELSE 0 END AS gap FROM mel), nq AS (SELECT *, sum(gap) OVER (PARTITION BY track_id ORDER BY start, note_id ROWS UNBOUNDED PRECEDING) AS quiet FROM n0), {_numbered('pitch // 32', 'nq')}, {longer('nt', 'track_id', 4, 16)},
+  {_taken(_LONGEST, _UNUSED + " AND c.near").replace("r.c, r.m, row_number()", "r.c, r.m, x.quiet = y.quiet AS near, row_number()").replace("FROM lv l JOIN mr r USING (track_id, n, gram))", "FROM lv l JOIN mr r USING (track_id, n, gram) JOIN nt x ON x.track_id = l.track_id AND x.pos = l.pos JOIN nt y ON y.track_id = l.track_id AND y.pos = l.pos + l.n - 1)").replace("SELECT track_id, l.pos AS p", "SELECT l.track_id, l.pos AS p").replace("OVER (PARTITION BY track_id ORDER BY r.m, l.pos)", "OVER (PARTITION BY l.track_id ORDER BY r.m, l.pos)")},
+  ew AS (SELECT a.track_id, x.start, y."end" AS stop, c, n, c * n AS score FROM acc a JOIN nt x ON x.track_id = a.track_id AND x.pos = a.p JOIN nt y ON y.track_id = a.track_id AND y.pos = a.q)
+  SELECT track_id, round(start, 3) AS start, round(stop, 3) AS "end", CAST(c AS INT) AS occurrences, CAST(n AS INT) AS length, CAST(score AS INT) AS score, CAST(row_number() OVER (ORDER BY score DESC, track_id, start) AS INT) AS rank FROM ew QUALIFY rank <= 500"""
+)
 def earworms_E(spark: SparkSession, d: str) -> DataFrame:
-    return sequential.earworms(_notes(spark, d).withColumn("pitch", (F.col("pitch") / 32).cast("int")), 4, 16, 10 * BAR_E, 500, TRACK)
+    return rounded(sequential.earworms(_notes(spark, d).withColumn("pitch", (F.col("pitch") / 32).cast("int")), 4, 16, 10 * BAR_E, 500, TRACK), "start", "end", digits=3)
 
 
-@query()
+_CLOSE = f"""al AS (SELECT a.file_id, a.track_id, a.bar, b.bar AS other, o.k, o.pitch, o.rel, o.dur, o.velocity FROM sz a JOIN sz b ON a.file_id = b.file_id AND a.track_id = b.track_id AND a.bar < b.bar JOIN ob o ON o.file_id = a.file_id AND o.track_id = a.track_id AND o.bar = a.bar
+  UNION ALL SELECT a.file_id, a.track_id, a.bar, b.bar, o.k, -o.pitch, -o.rel, -o.dur, -o.velocity FROM sz a JOIN sz b ON a.file_id = b.file_id AND a.track_id = b.track_id AND a.bar < b.bar JOIN ob o ON o.file_id = b.file_id AND o.track_id = b.track_id AND o.bar = b.bar),
+  df AS (SELECT file_id, track_id, bar, other, k, pow(sum(pitch), 2) + pow(sum(rel), 2) + pow(sum(dur), 2) + pow(sum(velocity), 2) AS sq FROM al GROUP BY ALL), mx AS (SELECT file_id, track_id, max(n) AS most FROM sz GROUP BY ALL), sc AS (SELECT file_id, track_id, bar, other, 1 - sqrt(sum(sq)) / (sqrt(4 * any_value(most)) * 127) AS similarity FROM df JOIN mx USING (file_id, track_id) GROUP BY file_id, track_id, bar, other)"""
+
+
+@query(
+    f"""WITH RECURSIVE {L}, {_BARS}, {_ORD}, {_CLOSE}, nr AS (SELECT file_id, track_id, other AS bar, list(bar) AS near FROM sc WHERE similarity > 1 - 0.9::DOUBLE GROUP BY ALL), bk AS (SELECT s.file_id, s.track_id, s.bar, coalesce(near, []) AS near, row_number() OVER (PARTITION BY s.file_id, s.track_id ORDER BY s.bar) AS k FROM sz s LEFT JOIN nr USING (file_id, track_id, bar)),
+  wl AS (SELECT file_id, track_id, k, bar, bar AS leader, [bar] AS leaders FROM bk WHERE k = 1 UNION ALL SELECT file_id, track_id, k, bar, coalesce(found, bar), CASE WHEN found IS NULL THEN list_append(leaders, bar) ELSE leaders END FROM (SELECT w.file_id, w.track_id, b.k, b.bar, w.leaders, list_filter(w.leaders, lambda x: list_contains(b.near, x))[1] AS found FROM wl w JOIN bk b ON b.file_id = w.file_id AND b.track_id = w.track_id AND b.k = w.k + 1))
+  SELECT file_id, track_id, CAST(bar AS BIGINT) AS bar, CAST(leader AS BIGINT) AS leader FROM wl"""
+)
 def leader_groups_L(spark: SparkSession, d: str) -> DataFrame:
     return sequential.leader_groups(t.bars(_lines(spark, d), BAR_L))
 
 
-@query()
+_DP = "pn AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY start, note_id) - 1 AS i, start, CAST(pitch AS DOUBLE) AS p, CAST(dur AS DOUBLE) AS u FROM mel), ed AS (SELECT a.track_id, a.i AS j, b.i, sqrt((a.start - b.start) * (a.start - b.start) + (a.p - b.p) * (a.p - b.p) + (a.u - b.u) * (a.u - b.u)) AS w FROM pn a JOIN pn b ON a.track_id = b.track_id AND a.i < b.i), r0 AS (SELECT track_id, i, 0::DOUBLE AS reach FROM pn)"
+_ROUNDS = ", ".join(f"r{k} AS (SELECT track_id, i, min(t) AS reach, arg_min(j, (t, j)) AS back FROM (SELECT e.track_id, e.i, e.j, r.reach + e.w AS t FROM ed e JOIN r{k - 1} r ON r.track_id = e.track_id AND r.i = e.j) GROUP BY ALL UNION ALL SELECT track_id, i, 0, NULL FROM pn WHERE i = 0)" for k in range(1, 5))
+
+
+@query(f"WITH RECURSIVE {E}, {_DP}, {_ROUNDS}, pa AS (SELECT track_id, max(i) AS i FROM pn GROUP BY track_id HAVING max(i) > 0 UNION ALL SELECT p.track_id, r.back FROM pa p JOIN r4 r ON r.track_id = p.track_id AND r.i = p.i WHERE r.back > 0) SELECT track_id, CAST(i AS INT) AS boundary, round(start, 3) AS start FROM pa JOIN pn USING (track_id, i)")
 def dp_segments_E(spark: SparkSession, d: str) -> DataFrame:
-    return sequential.dp_segments(_notes(spark, d), 5, TRACK)
+    return rounded(sequential.dp_segments(_notes(spark, d), 5, TRACK), "start", digits=3)
+
+
+# patterns of bars that resemble each other
+
+_MATCH = """nb AS (SELECT file_id, track_id, bar, row_number() OVER (PARTITION BY file_id, track_id ORDER BY bar) - 1 AS m, n FROM sz), eq AS (SELECT a.file_id, a.track_id, a.bar AS x, b.bar AS y, count(*) AS same FROM ob a JOIN ob b ON a.file_id = b.file_id AND a.track_id = b.track_id AND a.k = b.k AND a.bar < b.bar AND a.pitch = b.pitch GROUP BY ALL),
+  mt AS (SELECT e.file_id, e.track_id, a.m AS x, b.m AS y FROM eq e JOIN nb a ON a.file_id = e.file_id AND a.track_id = e.track_id AND a.bar = e.x JOIN nb b ON b.file_id = e.file_id AND b.track_id = e.track_id AND b.bar = e.y WHERE same / greatest(a.n, b.n)::DOUBLE >= {}),
+  isl AS (SELECT *, x - row_number() OVER (PARTITION BY file_id, track_id, y - x ORDER BY x) AS g FROM mt), rl AS (SELECT *, count(*) OVER (PARTITION BY file_id, track_id, y - x, g ORDER BY x DESC) AS run FROM isl),
+  ed AS (SELECT file_id, track_id, min(bar) AS lo, max(bar) AS hi FROM sz GROUP BY ALL), wd AS (SELECT e.file_id, e.track_id, w.n, s.bar, min(b.m) AS m, count(*) AS c FROM ed e, (SELECT unnest(range({}, {})) AS n) w, LATERAL (SELECT unnest(range(e.lo, e.hi - w.n + 2)) AS bar) s JOIN nb b ON b.file_id = e.file_id AND b.track_id = e.track_id AND b.bar >= s.bar AND b.bar < s.bar + w.n {} GROUP BY ALL),
+  pc AS (SELECT a.file_id, a.track_id, a.n, a.bar, b.bar AS copy FROM wd a JOIN wd b ON a.file_id = b.file_id AND a.track_id = b.track_id AND a.n = b.n AND a.c = b.c AND a.bar < b.bar LEFT JOIN rl r ON r.file_id = a.file_id AND r.track_id = a.track_id AND r.x = a.m AND r.y = b.m WHERE a.m = b.m OR r.run >= a.c)"""
+
+
+@query(f"WITH {L}, {_BARS}, {_ORD}, {_MATCH.format(0.8, 2, 9, 'WHERE w.n <= (e.hi - e.lo + 1) // 2')} SELECT file_id, track_id, CAST(n AS INT) AS n, CAST(bar AS BIGINT) AS bar, CAST(min(copy) AS BIGINT) AS copy FROM pc GROUP BY file_id, track_id, n, bar")
+def similar_bar_patterns_L(spark: SparkSession, d: str) -> DataFrame:
+    return classify.similar_bar_patterns(t.bars(_lines(spark, d), BAR_L))
+
+
+@query(f"WITH {L}, {_BARS}, {_ORD}, {_MATCH.format(0.1, 4, 5, '')} SELECT file_id, track_id, CAST(bar AS BIGINT) AS bar, string_agg(CAST(copy AS VARCHAR), ',' ORDER BY copy) AS copies FROM pc GROUP BY file_id, track_id, bar")
+def fixed_bar_patterns_L(spark: SparkSession, d: str) -> DataFrame:
+    return classify.fixed_bar_patterns(t.bars(_lines(spark, d), BAR_L), 4, 0.1, True).withColumn("copies", joined("copies"))
+
+
+@query()
+def merged_patterns_L(spark: SparkSession, d: str) -> DataFrame:
+    bars, seqs, patterns = _tokens(spark, d)
+    return classify.merge_patterns(patterns, seqs, bars).select(*FILE_TRACK, "n", joined("gram").alias("gram"), "count", "family")
+
+
+@query()
+def sequence_similarity_L(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(distance.adjacent_sequence_similarity(t.bars(_lines(spark, d), BAR_L)), "similarity")
 
 
 @query()

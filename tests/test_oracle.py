@@ -38,12 +38,6 @@ def test_same_as_sql(spark, sf_dir, duck, name):
     assert Counter(tuple(map(plain, r)) for r in df.select(*[f"`{c}`" for c in columns]).collect()) == wanted
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
-def test_without_sql_runs(spark, sf_dir, name):
-    df = QUERIES[name](spark, sf_dir)
-    assert df.columns and df.count() >= 0
-
-
 def test_entry(spark):
     import __spark_entry__ as e
 
