@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,23 +37,62 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 _LEAST_BITS = 20
 
 
+_P = 0x9E3779B97F4A7C15
+#: Bytes whose hashes are computed at a time.
+_AT_ONCE = 1 << 20
+
+
 def words_of(text: str) -> list[bytes]:
     """The words of a text, as UTF-8."""
     return text.encode().translate(_TABLE).split()
 
 
-class WordHashes(dict):
-    """word -> XXH64, the same in every process; the commonest words of a task are hashed once."""
+class WordTable:
+    """The words of many texts as places in one string of bytes: word k is ``data[starts[k]:ends[k]]``, and text t has the words from ``bounds[t]`` to ``bounds[t + 1]``."""
+
+    def __init__(self, texts: list[str]) -> None:
+        plain = [t.encode().translate(_TABLE) for t in texts]
+        self.data = b" ".join([*plain, b""])
+        edge = np.diff((np.frombuffer(self.data, dtype=np.uint8) != 32).view(np.int8), prepend=0, append=0)
+        self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.bounds = np.searchsorted(self.starts, np.cumsum([0, *(len(x) + 1 for x in plain)]))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = made = xxhash.xxh64_intdigest(word)
-        return made
+    def text(self, first: int, last: int) -> str:
+        """The words from ``first`` up to ``last``, with single spaces."""
+        return b" ".join(self.data[self.starts[first] : self.ends[last - 1]].split()).decode() if last > first else ""
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """The hashes of many words."""
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+    def hashes(self) -> np.ndarray:
+        """A hash of every word, the same in every process: its bytes as the digits of a number, taken from running sums, then mixed."""
+        out = np.empty(len(self.starts), dtype=np.uint64)
+        data = np.frombuffer(self.data, dtype=np.uint8)
+        at = 0
+        with np.errstate(over="ignore"):
+            while at < len(out):
+                base = self.starts[at]
+                # as many words as fit, one at least
+                stop = max(at + 1, int(np.searchsorted(self.ends, base + _AT_ONCE, side="right")))
+                up, down = _powers(int(self.ends[stop - 1] - base) + 1)
+                sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(data[base : self.ends[stop - 1]] * up[:-1])])
+                starts = self.starts[at:stop] - base
+                key = (sums[self.ends[at:stop] - base] - sums[starts]) * down[starts]
+                key ^= key >> np.uint64(32)
+                key *= _B
+                key ^= key >> np.uint64(29)
+                out[at:stop] = key
+                at = stop
+        return out
+
+
+_KNOWN: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of an odd number and of its inverse, modulo 2^64."""
+    if not _KNOWN or len(_KNOWN[0]) < n:
+        size = max(n, 1 << 16)
+        with np.errstate(over="ignore"):
+            _KNOWN[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, x, dtype=np.uint64)]), dtype=np.uint64) for x in (_P, pow(_P, -1, 1 << 64))]
+    return _KNOWN[0][:n], _KNOWN[1][:n]
 
 
 def shingle_hashes(ids: np.ndarray, size: int) -> np.ndarray:
@@ -76,15 +114,15 @@ def item_windows(benchmark: DataFrame, width: int, shingle: int, key: str = "ite
     schema = pa.schema([("item", pa.string()), ("window", pa.string()), ("n", pa.int32()), ("size", pa.int32()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in pieces(batches):
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if words := words_of(text):
-                    n = min(width, len(words))
+                table = WordTable([text])
+                if words := len(table.starts):
+                    n = min(width, words)
                     size = min(shingle, n)
-                    marks = shingle_hashes(hashes.of(words), size).view(np.int64).tolist()
-                    rows += [(item, b" ".join(words[i : i + n]).decode(), n, size, marks[i : i + n - size + 1]) for i in range(len(words) - n + 1)]
+                    marks = shingle_hashes(table.hashes(), size).view(np.int64).tolist()
+                    rows += [(item, table.text(i, i + n), n, size, marks[i : i + n - size + 1]) for i in range(words - n + 1)]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
     texts = benchmark.select(F.col(f"`{key}`").cast("string").alias("item"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
@@ -130,12 +168,22 @@ class ShingleFilter:
         return at[(self.table[second >> np.uint64(3)] >> (second & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
 
 
+def _met(table: WordTable, sizes: list[int], fits: ShingleFilter) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, word, hash) of the shingles of each size that pass the filter and lie in one text."""
+    ids = table.hashes()
+    for s in sizes:
+        keys = shingle_hashes(ids, s)
+        at = fits.among(keys)
+        at = at[at + s <= table.bounds[np.searchsorted(table.bounds, at, side="right")]] if len(at) else at
+        yield s, at, keys[at]
+
+
 def _occurrences(texts: DataFrame, shingles: DataFrame, sizes: list[int], most_bits: int) -> DataFrame:
     """(shingle, n): how often each of ``shingles`` is in the documents; a task sends one row for each that it met."""
     shared = texts.sparkSession.sparkContext.broadcast(ShingleFilter.of(shingles, most_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, fits = WordHashes(), shared.value
+        fits = shared.value
         held: list[np.ndarray] = []
         size = 0
 
@@ -144,13 +192,9 @@ def _occurrences(texts: DataFrame, shingles: DataFrame, sizes: list[int], most_b
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["shingle", "n"])
 
         for batch in pieces(batches):
-            for text in batch.column(0):
-                ids = hashes.of(words_of(text.as_py()))
-                for s in sizes:
-                    keys = shingle_hashes(ids, s)
-                    if len(at := fits.among(keys)):
-                        held.append(keys[at])
-                        size += len(at)
+            for _, _, keys in _met(WordTable(batch.column(0).to_pylist()), sizes, fits):
+                held.append(keys)
+                size += len(keys)
             if size > 1 << 22:
                 yield counted()
                 held, size = [], 0
@@ -176,26 +220,25 @@ def _places(texts: DataFrame, prefixes: DataFrame, sizes: list[int], width: int,
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("at", pa.int64()), ("shingle", pa.int64()), ("lead", pa.int32()), ("near", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, fits = WordHashes(), shared.value
+        fits = shared.value
         rows: list[tuple] = []
 
         def made() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in pieces(batches):
-            for text, a, b in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = words_of(text.as_py())
-                ids = hashes.of(words)
-                for s in sizes:
-                    keys = shingle_hashes(ids, s)
-                    # the shortest windows are one shingle; windows of the full shingle size reach out on both sides
-                    reach = width - s if s == sizes[-1] else 0
-                    for i in fits.among(keys).tolist():
-                        first = max(0, i - reach)
-                        rows.append((a, b, i, int(keys[i].view(np.int64)), i - first, b" ".join(words[first : i + s + reach]).decode()))
-                        if len(rows) >= 1 << 14:
-                            yield made()
-                            rows = []
+            table, a, b = WordTable(batch.column(0).to_pylist()), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for s, at, keys in _met(table, sizes, fits):
+                # the shortest windows are one shingle; windows of the full shingle size reach out on both sides
+                reach = width - s if s == sizes[-1] else 0
+                texts_at = np.searchsorted(table.bounds, at, side="right") - 1
+                for i, k, t in zip(at.tolist(), keys.view(np.int64).tolist(), texts_at.tolist(), strict=True):
+                    begin, end = int(table.bounds[t]), int(table.bounds[t + 1])
+                    first = max(begin, i - reach)
+                    rows.append((a[t], b[t], i - begin, k, i - first, table.text(first, min(end, i + s + reach))))
+                    if len(rows) >= 1 << 14:
+                        yield made()
+                        rows = []
         if rows:
             yield made()
 
@@ -231,8 +274,16 @@ def contamination(documents: DataFrame, benchmark: DataFrame, keep: list[str] |
     outputs = ["n_words", "hits", "items", "n_hit", "n_items", "contaminated"]
     passed = [c for c in (documents.columns if keep is None else keep) if c.lower() not in {*outputs, "__a", "__b"}]
     a, b = row_identity(documents, [text_col])
-    words = F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(WORDS)).cast("long")
-    rows = documents.select(*[F.col(f"`{c}`") for c in passed], words.alias("n_words"), a.alias("__a"), b.alias("__b"))
+    source = documents.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(passed)], a.alias("a"), b.alias("b"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    names = [*source.columns[:-1], "n_words"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            counts = np.diff(WordTable(batch.column(batch.num_columns - 1).to_pylist()).bounds).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts)], names=names)
+
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "n_words long"])
+    rows = source.mapInArrow(run, schema).toDF(*passed, "__a", "__b", "n_words")
     found = cut(hits_of_texts(documents, benchmark, text_col=text_col, **settings)).toDF("__c", "__d", "hits", "items", "n_hit")
     joined = rows.join(found, (F.col("__a") == F.col("__c")) & (F.col("__b") == F.col("__d")), "left")
     made = joined.withColumns({"hits": F.coalesce("hits", F.array().cast("array<struct<start:bigint,stop:bigint>>")), "items": F.coalesce("items", F.array().cast("array<string>")), "n_hit": F.coalesce("n_hit", F.lit(0).cast("long"))})
