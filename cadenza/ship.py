@@ -5,21 +5,24 @@ from __future__ import annotations
 import tempfile
 import zipfile
 from pathlib import Path
+from threading import Lock
 
 from pyspark.sql import SparkSession
 
 _SENT: set[str] = set()
+_SENDING = Lock()
 
 
 def ship(spark: SparkSession) -> None:
     """Add the package as a py-file, once per application."""
     context = spark.sparkContext
-    if context.applicationId in _SENT:
-        return
-    root = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="cadenza-"), "cadenza_package.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    context.addPyFile(str(path))
-    _SENT.add(context.applicationId)
+    with _SENDING:  # queries of one session may start side by side
+        if context.applicationId in _SENT:
+            return
+        root = Path(__file__).resolve().parent
+        path = Path(tempfile.mkdtemp(prefix="cadenza-"), "cadenza_package.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        context.addPyFile(str(path))
+        _SENT.add(context.applicationId)
