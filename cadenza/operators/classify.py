@@ -142,9 +142,9 @@ def continuous_phrases(bars: DataFrame, least: int = 2, most: int = 8, step: int
 
 def classify(bars: DataFrame, empty: DataFrame, patterns: DataFrame, seqs: DataFrame, bar: int, least_phrase: int = 1, group: list[str] = GROUP) -> DataFrame:
     """(group, type, start, end, length): repeating patterns, melodic phrases, empty bars, whatever is left, and the first and last moment."""
-    at = F.element_at("bars", (F.col("pos") + 1).cast("int"))
-    to = F.element_at("bars", (F.col("pos") + F.col("n")).cast("int"))
-    repeated = patterns.select(*group, "n", F.explode("positions").alias("pos")).join(seqs.select(*group, "bars"), group).select(*group, F.lit("Repeating Pattern").alias("type"), (at * bar).alias("start"), ((to + 1) * bar).alias("end"), F.col("n").cast("long").alias("length"))
+    spots = F.transform("positions", lambda p: F.struct(F.get("bars", p.cast("int")).alias("a"), F.get("bars", (p + F.col("n") - 1).cast("int")).alias("b")))
+    placed = patterns.join(seqs.select(*group, "bars"), group).select(*group, "n", F.explode(spots).alias("o"))
+    repeated = placed.select(*group, F.lit("Repeating Pattern").alias("type"), (F.col("o.a") * bar).alias("start"), ((F.col("o.b") + 1) * bar).alias("end"), F.col("n").cast("long").alias("length"))
     inside = repeating_bars(patterns, seqs, group)
     spans = phrases(bars, inside, least_phrase, group)
     phrase = spans.select(*group, F.lit("Melodic Phrase").alias("type"), (F.col("first") * bar).alias("start"), ((F.col("last") + 1) * bar).alias("end"), F.col("n").alias("length"))

@@ -75,10 +75,14 @@ def bars(notes: DataFrame, bar: int, group: list[str] = GROUP) -> DataFrame:
 
 
 def empty_bars(notes: DataFrame, bar: int, group: list[str] = GROUP) -> DataFrame:
-    """(group, bar): bars between a track's first and last one that no note sounds in; the grid costs one row a track until it is exploded."""
-    held = in_bars(notes, bar).select(*group, "bar").distinct()
-    grid = held.groupBy(*group).agg(F.min("bar").alias("a"), F.max("bar").alias("b")).select(*group, F.explode(F.sequence("a", "b")).alias("bar"))
-    return grid.join(held, [*group, "bar"], "left_anti")
+    """(group, bar): bars between a track's first and last one that no note sounds in."""
+    return absent_bars(in_bars(notes, bar).select(*group, "bar").distinct(), group)
+
+
+def absent_bars(held: DataFrame, group: list[str] = GROUP) -> DataFrame:
+    """(group, bar): the bars missing between each two neighbours of a track's bars; a gap costs one row until it is exploded."""
+    gaps = held.select(*group, "bar", F.lead("bar").over(Window.partitionBy(*group).orderBy("bar")).alias("__next")).where(F.col("__next") > F.col("bar") + 1)
+    return gaps.select(*group, F.explode(F.sequence(F.col("bar") + 1, F.col("__next") - 1)).alias("bar"))
 
 
 def runs(rows: DataFrame, at: str, group: list[str], least: int = 1) -> DataFrame:

@@ -9,6 +9,7 @@ from cadenza.operators import classify, distance, sequential, structure
 from cadenza.operators import timeline as t
 from cadenza.plans.oracle import E, L, longer
 from cadenza.plans.registry import joined, query, r, rounded
+from cadenza.shared import cut
 from cadenza.sources.tables import event_notes, lineitem_notes, melodic
 
 #: Bar of the events view in seconds and of the lineitem view in days, ticks of a beat, and the softest loud note.
@@ -245,9 +246,10 @@ def phrase_islands_L(spark: SparkSession, d: str) -> DataFrame:
   UNION ALL SELECT file_id, track_id, 'Start', min(bar) * 30, min(bar) * 30, 0 FROM tok GROUP BY ALL UNION ALL SELECT file_id, track_id, 'End', (max(bar) + 1) * 30, (max(bar) + 1) * 30, 0 FROM tok GROUP BY ALL)"""
 )
 def segment_classes_L(spark: SparkSession, d: str) -> DataFrame:
-    notes = _lines(spark, d)
-    bars, seqs, patterns = _tokens(spark, d)
-    return classify.classify(bars, t.empty_bars(notes, BAR_L), patterns, seqs, BAR_L, 2)
+    # six kinds of segments read the bars, so their tokens are computed once; the notes stay behind
+    bars = cut(t.bars(_lines(spark, d), BAR_L).select(*FILE_TRACK, "bar", classify.mean_octave(F.col("notes")).alias("token")))
+    seqs = classify.bar_sequences(bars, F.col("token"))
+    return classify.classify(bars, t.absent_bars(bars), classify.bar_patterns(seqs, 2, 8), seqs, BAR_L, 2)
 
 
 # decisions in order
