@@ -1,14 +1,15 @@
-"""Helpers shared by the corpus operators: table access, lineage cuts, row identity and bounded pieces of batches."""
+"""Helpers shared by the corpus operators: table access, row identity and bounded pieces of batches."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.shared import cut, shared_dir  # noqa: F401
+
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,32 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where that is unset, a session whose executors are this very machine (``local[...]``) gets a temporary folder; on a cluster none would do, so that is an error.
-    """
-    context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        if not configured and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="cadenza-checkpoint-"))
-    return configured or context.getCheckpointDir()
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate tables, wherever Spark keeps it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` now and read it from reliable storage from here on, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Views of at most ``rows`` rows: Spark bounds a batch by bytes, and this what is turned into Python objects at once."""
     for batch in batches:
