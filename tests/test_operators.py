@@ -336,3 +336,26 @@ def test_close_bars_query_has_all_similar_pairs(spark, sf_dir):
     wanted = every.where("similarity > 0.1").count()
     found = QUERIES["close_bars_L"](spark, sf_dir)
     assert found.count() == wanted > every.where("similarity > 0.98").count()
+
+
+def test_absent_bars_fill_the_gaps_of_each_track(spark):
+    held = spark.createDataFrame([("a", "x", 2), ("a", "x", 5), ("a", "x", 6), ("b", "x", 1), (None, None, 0), (None, None, 2)], "file_id string, track_id string, bar long")
+    assert sorted((str(r.file_id), r.bar) for r in t.absent_bars(held).collect()) == [("None", 1), ("a", 3), ("a", 4)]
+    assert t.absent_bars(held.limit(0)).count() == 0
+
+
+def test_shipping_from_several_threads_at_once(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from cadenza import ship
+
+    ship._SENT.discard(spark.sparkContext.applicationId)
+    real, sent = spark.sparkContext.addPyFile, []
+    spark.sparkContext.addPyFile = sent.append
+    try:
+        with ThreadPoolExecutor(4) as pool:
+            list(pool.map(lambda _: ship.ship(spark), range(8)))
+    finally:
+        spark.sparkContext.addPyFile = real
+        ship._SENT.discard(spark.sparkContext.applicationId)
+    assert len(sent) == 1
