@@ -7,6 +7,8 @@ are a valid ``.warc.gz`` in which any record can be read from its offset alone.
 
 Files are kept as tables: an archive is rows (archive, chunk, content) of bounded size, so that Spark's committer decides which
 attempt of a lost task counts, and any store that Spark reaches can hold them.  ``export_archives`` copies them to plain files.
+``write_archives`` puts every archive into a Parquet file of its own with one row group, which a scan gives to one task in order, so
+``normalise`` needs no shuffle for them; archives from elsewhere are first brought together and sorted.
 
 Records of equal payload of at least ``least_bytes`` bytes: the one of the smallest page_id is the response, others are revisits
 that carry the digest and length of the full payload and name its page and target.  Copies are counted by digest with a combining group-by, and only
@@ -17,7 +19,7 @@ Record ids are unique: they come from the archive and the record's place in it.
 Defined cases: null html is the empty payload; a null url is an empty target; a null page_id is written as an empty id, read back as null, and comes
 after all others in its group (with no other id, its records are responses); repeated rows of the smallest page_id are all responses; line
 breaks in urls are percent-encoded; an empty table writes empty archives' tables and reads no rows; other columns are ignored.  Memory is one
-Arrow batch, which Spark bounds by bytes, one chunk and one record.
+archive's compressed stream while its file is written or read, one Arrow batch, which Spark bounds by bytes, one chunk and one record.
 """
 
 from __future__ import annotations
@@ -107,13 +109,17 @@ class RecordParser:
 _WRITTEN = ("page_id", "url", "payload", "payload_digest", "record_type", "refers_to", "refers_to_url")
 
 
-def write_archives(records: DataFrame, path: str, archive_bytes: int = 256 << 20, chunk_bytes: int = 4 << 20, level: int = 1) -> DataFrame:
-    """Write ``page_records`` as monolithic gzip streams, a table (archive, chunk, content), and return it."""
+def write_archives(records: DataFrame, path: str, archive_bytes: int = 64 << 20, chunk_bytes: int = 4 << 20, level: int = 1) -> DataFrame:
+    """Write ``page_records`` as monolithic gzip streams, a table (archive, chunk, content), and return it.
+
+    An archive ends with its task, or after so many chunks as make ``archive_bytes`` of the stream; that many rows are a file.
+    """
     schema = pa.schema([("archive", pa.string()), ("chunk", pa.int64()), ("content", pa.binary())])
+    chunks = max(1, archive_bytes // chunk_bytes)
     prefix = uuid4().hex  # ids of two crawls differ
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, chunk, size, record = TaskContext.get().partitionId(), 0, 0, 0, 0
+        part, number, chunk, record = TaskContext.get().partitionId(), 0, 0, 0
         out, stream = bytearray(), None
 
         def row() -> pa.RecordBatch:
@@ -122,23 +128,24 @@ def write_archives(records: DataFrame, path: str, archive_bytes: int = 256 << 20
         for batch in pieces(batches, 64):
             for r in zip(*(batch.column(k).to_pylist() for k in _WRITTEN), strict=True):
                 if stream is None:
-                    stream, chunk, size, record = zlib.compressobj(level, zlib.DEFLATED, 31), 0, 0, 0
+                    stream, chunk, record = zlib.compressobj(level, zlib.DEFLATED, 31), 0, 0
                 data = record_bytes(f"<urn:uuid:{uuid5(NAMESPACE_URL, f'{prefix}/{part}/{number}/{record}')}>", *r)
                 record += 1
-                size += len(data)
                 out += stream.compress(data)
                 if len(out) >= chunk_bytes:
+                    last = chunk + 1 == chunks
+                    if last:
+                        out += stream.flush()
                     yield row()
                     chunk, out = chunk + 1, bytearray()
-                if size >= archive_bytes:
-                    out += stream.flush()
-                    yield row()
-                    out, stream, number = bytearray(), None, number + 1
+                    if last:
+                        stream, number = None, number + 1
         if stream is not None:
             out += stream.flush()
             yield row()
 
-    records.select(*_WRITTEN).mapInArrow(run, "archive string, chunk long, content binary").write.parquet(path)
+    table = records.select(*_WRITTEN).mapInArrow(run, "archive string, chunk long, content binary")
+    table.write.option("maxRecordsPerFile", chunks).option("parquet.block.size", 1 << 30).parquet(path)
     return records.sparkSession.read.parquet(path)
 
 
@@ -147,22 +154,28 @@ _MEMBER = pa.schema(
 )
 
 
-def normalise(archives: DataFrame, path: str, level: int = 1, batch_bytes: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
-    """Write members and the sidecar index under ``path`` and return both; takes streams of one member or many."""
+def normalise(archives: DataFrame, path: str, level: int = 1, batch_bytes: int = 4 << 20, in_place: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Write members and the sidecar index under ``path`` and return both; takes streams of one member or many.
+
+    ``in_place``: each archive lies whole and in order in one partition, as in what ``write_archives`` returns; a missing or misplaced chunk is an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, inflate, parser = None, None, RecordParser()
-        number = offset = held = 0
+        number = offset = held = expected = 0
         rows: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _MEMBER, strict=True)], schema=_MEMBER)
 
         for batch in pieces(batches, 1):
-            for archive, content in zip(batch.column("archive").to_pylist(), batch.column("content"), strict=True):
+            for archive, chunk, content in zip(batch.column("archive").to_pylist(), batch.column("chunk").to_pylist(), batch.column("content"), strict=True):
                 if archive != current:
                     parser.close()
-                    current, inflate, parser, number, offset = archive, zlib.decompressobj(31), RecordParser(), 0, 0
+                    current, inflate, parser, number, offset, expected = archive, zlib.decompressobj(31), RecordParser(), 0, 0, 0
+                if in_place and chunk != expected:
+                    raise ValueError(f"chunk {chunk} of {archive} comes where {expected} is due")
+                expected += 1
                 data = content.as_py()
                 while data:
                     piece = inflate.decompress(data, 1 << 20)
@@ -183,7 +196,7 @@ def normalise(archives: DataFrame, path: str, level: int = 1, batch_bytes: int =
             yield flush()
 
     spark = archives.sparkSession
-    ordered = archives.repartition("archive").sortWithinPartitions("archive", "chunk")
+    ordered = archives if in_place else archives.repartition("archive").sortWithinPartitions("archive", "chunk")
     ordered.mapInArrow(run, "archive string, record_no long, offset long, length long, type string, record_id string, target string, payload_digest string, content binary").write.parquet(f"{path}/members")
     members = spark.read.parquet(f"{path}/members")
     members.drop("content").write.parquet(f"{path}/index")
@@ -220,7 +233,7 @@ def archive_pages(pages: DataFrame, path: str | None = None, least_bytes: int =
     """Write and normalise archives of ``pages``; returns (records read back, members, index).  ``path`` is a folder that all executors share."""
     spark: SparkSession = pages.sparkSession
     path = path or f"{shared_dir(spark).rstrip('/')}/warc-{uuid4().hex}"
-    members, index = normalise(write_archives(page_records(pages, least_bytes), f"{path}/monolithic"), path)
+    members, index = normalise(write_archives(page_records(pages, least_bytes), f"{path}/monolithic"), path, in_place=True)
     remove(spark, f"{path}/monolithic")
     return read_records(members), members, index
 

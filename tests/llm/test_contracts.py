@@ -478,9 +478,24 @@ def test_warc(spark, sf_dir, tmp_path):
         again, _ = warc.normalise(members.select("archive", F.col("record_no").alias("chunk"), "content"), str(tmp_path / f"again{len(df.columns)}"))
         same(rows(again), rows(members))
     assert warc.archive_pages(pages.limit(0))[0].count() == 0
+    # archives are cut by compressed bytes, so payloads that compress badly; many archives of several chunks
+    pages = pages.withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.expr("array_join(transform(sequence(1, 300), i -> sha2(concat(page_id, '/', i), 256)), '')")))
     small = warc.write_archives(warc.page_records(pages), str(tmp_path / "small"), archive_bytes=20_000, chunk_bytes=3_000)
+    assert small.groupBy("archive").count().where("count > 1").count() > 3
     assert small.select("archive").distinct().count() > 3
     same(rows(warc.read_records(warc.normalise(small, str(tmp_path / "small_n"))[0]).drop("payload_ok")), brute.warc(rows(pages)))
+    # a scan in tiny splits still gives every archive to one task, and an archive out of order is refused
+    split = {"spark.sql.files.maxPartitionBytes": "2k", "spark.sql.files.openCostInBytes": "1"}
+    for k, v in split.items():
+        spark.conf.set(k, v)
+    try:
+        assert small.rdd.getNumPartitions() > 10
+        same(rows(warc.read_records(warc.normalise(small, str(tmp_path / "small_p"), in_place=True)[0]).drop("payload_ok")), brute.warc(rows(pages)))
+    finally:
+        for k in split:
+            spark.conf.unset(k)
+    with pytest.raises(Exception, match="is due"):
+        warc.normalise(small.repartition(1).sortWithinPartitions("archive", F.desc("chunk")), str(tmp_path / "small_x"), in_place=True)
 
 
 # pipeline
