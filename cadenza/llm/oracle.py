@@ -39,14 +39,25 @@ def _quality() -> str:
     marks = " OR ".join(f"ends_with(bare, {_q(c)})" for c in _ENDS)
     phrases = "|".join(BOILERPLATE)
     count = lambda pattern: f"len(regexp_extract_all(line, {_q(pattern)}))"
+
+    def repeated(name: str, source: str, words: str, keys: str) -> str:
+        """CTEs up to ``name`` (keys, n_repeat_words): words in windows that a list of words has twice or more."""
+        grams = ", ".join("word" if k == 0 else f"lead(word, {k}) OVER o" for k in range(r.window))
+        return f"""{name}_p AS (SELECT {keys}, unnest({words}) AS word, generate_subscripts({words}, 1) AS i FROM {source}), {name}_g AS (SELECT {keys}, i, array_to_string([{grams}], ' ') AS gram, lead(word, {r.window - 1}) OVER o IS NOT NULL AS full_ FROM {name}_p WINDOW o AS (PARTITION BY {keys} ORDER BY i)),
+  {name}_d AS (SELECT {keys}, i, CASE WHEN full_ AND count(*) FILTER (full_) OVER (PARTITION BY {keys}, gram) > 1 THEN 1 ELSE 0 END AS dup FROM {name}_g),
+  {name} AS (SELECT {keys}, CAST(sum(hit) AS BIGINT) AS n_repeat_words FROM (SELECT {keys}, max(dup) OVER (PARTITION BY {keys} ORDER BY i ROWS BETWEEN {r.window - 1} PRECEDING AND CURRENT ROW) AS hit FROM {name}_d) GROUP BY {keys})"""
+
+    few = f"len(lw) >= {r.repeat_words} AND len(list_distinct(lw)) < {r.distinct_share}::DOUBLE * len(lw)"
+    near = f"list_sum(list_transform(range(1, len(lw) + 1, {r.repeat_span}), lambda i: len(list_distinct(lw[i : i + {r.repeat_span - 1}])))) < {r.distinct_share}::DOUBLE * len(lw)"
+    far = f"100 * coalesce(n_repeat_words, 0) > {r.max_repeat_percent} * len(lw)"
     return f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents), w AS (SELECT row, doc_id, text, regexp_extract_all(text, {_q(_WORD)}) AS words FROM d),
-  p AS (SELECT row, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w), g AS (SELECT row, i, array_to_string([{', '.join('word' if k == 0 else f'lead(word, {k}) OVER o' for k in range(r.window))}], ' ') AS gram, lead(word, {r.window - 1}) OVER o IS NOT NULL AS full_ FROM p WINDOW o AS (PARTITION BY row ORDER BY i)),
-  du AS (SELECT row, i, CASE WHEN full_ AND count(*) FILTER (full_) OVER (PARTITION BY row, gram) > 1 THEN 1 ELSE 0 END AS dup FROM g), rp AS (SELECT row, CAST(sum(hit) AS BIGINT) AS n_repeat_words FROM (SELECT row, max(dup) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN {r.window - 1} PRECEDING AND CURRENT ROW) AS hit FROM du) GROUP BY row),
+  {repeated('rp', 'w', 'words', 'row')},
   l AS (SELECT row, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM (SELECT row, string_split(text, chr(10)) AS lines FROM d)),
   m AS (SELECT row, line, k, row_number() OVER (PARTITION BY row, line ORDER BY k) > 1 AS earlier, regexp_extract_all(line, {_q(_WORD)}) AS lw, regexp_replace(line, '{_SPACES}+$', '') AS bare, {count('[|»›•·]')} AS seps, {count('[.!?…。！？]')} AS stops FROM l),
+  c AS (SELECT row, k, lw FROM m WHERE {few}), {repeated('lr', 'c', 'lw', 'row, k')},
   v AS (SELECT row, len(lw) AS n, len(array_to_string(lw, '')) AS chars, earlier, CASE WHEN len(lw) = 0 THEN NULL WHEN seps >= {r.nav_separators} AND 2 * seps >= len(lw) - seps THEN 'navigation' WHEN length(line) < {r.boilerplate_chars} AND regexp_matches(line, '(?i){phrases}') THEN 'boilerplate'
-  WHEN len(lw) >= 3 AND len(list_filter(lw, lambda x: regexp_matches(x, '[#*$%&!?<>|~^_=+]{{2,}}$'))) > {r.marked_share}::DOUBLE * len(lw) THEN 'symbols' WHEN len(lw) >= {r.repeat_words} AND len(list_distinct(lw)) < {r.distinct_share}::DOUBLE * len(lw) THEN 'repetition'
-  WHEN len(lw) > {r.bare_words} AND NOT ({marks}) AND stops * {r.bare_words} < len(lw) THEN 'punctuation' WHEN earlier AND len(lw) >= {r.repeated_words} THEN 'repeated' END AS fault FROM m),
+  WHEN len(lw) >= 3 AND len(list_filter(lw, lambda x: regexp_matches(x, '[#*$%&!?<>|~^_=+]{{2,}}$'))) > {r.marked_share}::DOUBLE * len(lw) THEN 'symbols' WHEN {few} AND ({near} OR {far}) THEN 'repetition'
+  WHEN len(lw) > {r.bare_words} AND NOT ({marks}) AND stops * {r.bare_words} < len(lw) THEN 'punctuation' WHEN earlier AND len(lw) >= {r.repeated_words} THEN 'repeated' END AS fault FROM m LEFT JOIN lr USING (row, k)),
   x AS (SELECT row, CAST(coalesce(sum(chars) FILTER (fault IS NOT NULL), 0) AS BIGINT) AS removed_chars, count(*) FILTER (n > 0 AND earlier) AS n_dup_lines FROM v GROUP BY row),
   b AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, removed_chars FROM w JOIN x USING (row) LEFT JOIN rp USING (row)),
   e AS (SELECT *, n_words < {r.min_words} OR 100 * n_repeat_words > {r.max_repeat_percent} * n_words AS base_failed FROM b) SELECT *, NOT base_failed AND word_chars - removed_chars >= {r.keep_share}::DOUBLE * greatest(1, word_chars) AS kept FROM e"""
