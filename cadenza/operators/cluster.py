@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.expr import squared_distance
-from cadenza.operators.search import silhouette
+from cadenza.operators.search import silhouettes
 from cadenza.operators.sequential import per_group
 
 GROUP = ["file_id", "track_id"]
@@ -40,14 +40,16 @@ def elbow(vectors: DataFrame, ks: range, seed: int = 42) -> DataFrame:
 
 
 def best_k(vectors: DataFrame, ks: range = range(2, 11), least: int = 5, seed: int = 42) -> DataFrame:
-    """(k, silhouette, chosen): the first k of the best mean silhouette, raised to ``least``."""
-    each = None
+    """(k, silhouette, chosen): the first k of the best mean silhouette, raised to ``least``; all clusterings share one pass over the pairs of rows."""
+    data = vectors.select("id", "vec", array_to_vector("vec").alias("__v"))
+    labelled, labels = data, {}
     for k in ks:
-        labelled = kmeans(vectors, k, seed)[0]
-        one = silhouette(labelled).agg(F.avg("silhouette").alias("silhouette")).select(F.lit(k).alias("k"), "silhouette")
-        each = one if each is None else each.unionByName(one)
-    best = each.agg(F.max(F.struct("silhouette", (-F.col("k")).alias("n"))).alias("b")).select(F.greatest(-F.col("b.n"), F.lit(least)).alias("__best"))
-    return each.join(F.broadcast(best)).select("k", "silhouette", (F.col("k") == F.col("__best")).alias("chosen"))
+        model = KMeans(k=k, seed=seed, featuresCol="__v", predictionCol=f"__k{k}").fit(data)
+        labelled, labels[f"__k{k}"] = model.transform(labelled), len(model.clusterCenters())
+    means = silhouettes(labelled.drop("__v"), labels).agg(*[F.avg(c).alias(c) for c in labels])
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"__k{k}").alias("silhouette"), F.lit(-k).alias("n")) for k in ks])
+    best = F.greatest(-F.array_max(F.transform(each, lambda x: F.struct(x["silhouette"], x["n"])))["n"], F.lit(least))
+    return means.select(best.alias("__best"), F.inline(each)).select("k", "silhouette", (F.col("k") == F.col("__best")).alias("chosen"))
 
 
 def centroids(vectors: DataFrame) -> DataFrame:

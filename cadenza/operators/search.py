@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.schema import FEATURE_WEIGHTS, TOP_K
@@ -176,3 +176,67 @@ def silhouette(vectors: DataFrame, block_rows: int = 4096) -> DataFrame:
         F.max(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"), F.max(F.when(own, F.col("n"))).alias("size")
     )
     return d.select("id", "label", F.when(F.col("size") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
+
+
+def _distances(a: np.ndarray, b: np.ndarray, rows: int = 128) -> Iterator[tuple[int, np.ndarray]]:
+    """Euclidean distances, a stripe of rows at a time, by one product about the mean of ``b``; pairs that are close for their size, where that loses digits, are subtracted instead."""
+    middle = b.mean(axis=0)
+    x, y = a - middle, b - middle
+    nx, ny = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    left, right = np.column_stack([x, nx, np.ones(len(x))]), np.column_stack([-2 * y, np.ones(len(y)), ny]).T
+    for i in range(0, len(a), rows):
+        d2 = left[i : i + rows] @ right
+        r, c = np.nonzero(d2 < 1e-6 * (nx[i : i + rows, None] + ny.max()))
+        close = d2[r, c] < 1e-6 * (nx[i + r] + ny[c])
+        r, c = r[close], c[close]
+        for j in range(0, len(r), 16_384):
+            p, q = r[j : j + 16_384], c[j : j + 16_384]
+            d2[p, q] = ((a[i + p] - b[q]) ** 2).sum(axis=1)
+        yield i, np.sqrt(d2, out=d2)
+
+
+def silhouettes(vectors: DataFrame, labels: dict[str, int], block_rows: int = 16_384) -> DataFrame:
+    """(id, label columns): the silhouettes of (id, vec, label columns) under each labelling; ``labels``: column -> number of labels from 0 on.
+
+    As ``silhouette`` of each, but a pair's distance is computed once for all labellings and for both of its rows.
+    """
+    start = dict(zip(labels, np.cumsum([0, *labels.values()]).tolist(), strict=False))
+    total = sum(labels.values())
+    names = [f"__t{i}" for i in range(total)]
+    sizes = vectors.agg(F.count(F.lit(1)), *[F.count_if(F.col(c) == i) for c, n in labels.items() for i in range(n)]).first()
+    blocks = max(1, -(-sizes[0] // block_rows))
+
+    def sums(key: tuple, pair: pd.DataFrame) -> pd.DataFrame:
+        own = pair["__block"].to_numpy()
+        sides = [pair[own == k] for k in dict.fromkeys(key)]
+        x, member = [_matrix(s) for s in sides], []
+        for s in sides:
+            one = np.zeros((len(s), total))
+            for c, o in start.items():
+                one[np.arange(len(s)), o + s[c].to_numpy()] = 1
+            member.append(one)
+        made = [np.zeros(m.shape) for m in member]
+        if all(map(len, sides)):
+            for i, d in _distances(x[0], x[-1]):
+                made[0][i : i + len(d)] = d @ member[-1]
+                if len(sides) == 2:
+                    made[1] += d.T @ member[0][i : i + len(d)]
+        found = [pd.concat([s[["id", *labels]].reset_index(drop=True), pd.DataFrame(m, columns=names)], axis=1) for s, m in zip(sides, made, strict=True)]
+        return pd.concat(found, ignore_index=True)
+
+    block, other = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = vectors.select("id", "vec", *labels, block.alias("__block"), other.alias("__other"))
+    pairs = dealt.select("id", "vec", *labels, "__block", F.least("__block", "__other").alias("__q"), F.greatest("__block", "__other").alias("__c"))
+    schema = ", ".join([f"id {vectors.schema['id'].dataType.simpleString()}", *(f"`{c}` int" for c in labels), *(f"{n} double" for n in names)])
+    # a pair of blocks is much work on few bytes, so its tasks are not to be joined by size
+    each = pairs.repartition(blocks * (blocks + 1) // 2, "__q", "__c").groupBy("__q", "__c").applyInPandas(sums, schema)
+    whole = each.groupBy("id", *labels).agg(*[F.sum(n).alias(n) for n in names])
+
+    def width(c: str) -> Column:
+        own, at = F.col(c), range(start[c], start[c] + labels[c])
+        size, sums_of = F.array(*[F.lit(sizes[1 + i]) for i in at]), F.array(*[F.col(names[i]) for i in at])
+        a = F.get(sums_of, own) / F.nullif(F.get(size, own) - 1, F.lit(0))
+        b = F.array_min(F.transform(sums_of, lambda t, i: F.when(i != own, t / F.nullif(F.get(size, i), F.lit(0)))))
+        return F.when(F.get(size, own) == 1, 0.0).when((a == 0) & (b == 0), 0.0).otherwise((b - a) / F.greatest(a, b))
+
+    return whole.select("id", *[width(c).alias(c) for c in labels])
