@@ -5,6 +5,7 @@ Each takes a streaming or a static DataFrame of the same columns; on a stream th
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -18,32 +19,39 @@ from cadenza.operators.features import features10
 from cadenza.sources import midi
 
 _NOTE = "file_id string, track_id long, pitch int, start_tick long, end_tick long, velocity int"
+_PITCH = ["file_id", "track_id", "pitch"]
 
 
-def pair_notes(raw: DataFrame) -> DataFrame:
+def pair_notes(raw: DataFrame, buckets: int = 1024) -> DataFrame:
     """(file_id, track_id, pitch, start_tick, end_tick, velocity) of on and off events (file_id, track_id, seq, time, pitch, velocity), last opened first closed.
 
-    The state of a pitch is its open notes and goes with the last of them; what a track leaves open stays, at most a few notes a pitch.
+    Pitches of tracks are dealt to ``buckets``, as most have a few events a batch and a call for each would cost far more than its work.  The state of a bucket is
+    the open notes of its pitches, later ones behind, and goes with the last of them; what a track leaves open stays, at most a few notes a pitch.
     """
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (starts, velocities) = (list(x) for x in state.get) if state.exists else ([], [])
+    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held: defaultdict[tuple, list[tuple[int, int]]] = defaultdict(list)
+        for *key, start, velocity in zip(*state.get, strict=True) if state.exists else ():
+            held[tuple(key)].append((start, velocity))
         rows = pd.concat(list(batches)).sort_values(["time", "seq"], kind="stable")
+        keys = zip(*(rows[c].astype(object).where(rows[c].notna(), None) for c in _PITCH), strict=True)
         out = []
-        for time, velocity in zip(rows["time"], rows["velocity"], strict=True):
+        for key, time, velocity in zip(keys, rows["time"], rows["velocity"], strict=True):
             if velocity > 0:
-                starts.append(int(time))
-                velocities.append(int(velocity))
-            elif starts:
-                out.append((*key, starts.pop(), int(time), velocities.pop()))
-        if starts:
-            state.update((starts, velocities))
+                held[key].append((int(time), int(velocity)))
+            elif notes := held.get(key):
+                start, loud = notes.pop()
+                out.append((*key, start, int(time), loud))
+        still = [(*key, *note) for key, notes in held.items() for note in notes]
+        if still:
+            state.update(tuple(map(list, zip(*still, strict=True))))
         elif state.exists:
             state.remove()
         if out:
-            yield pd.DataFrame(out, columns=["file_id", "track_id", "pitch", "start_tick", "end_tick", "velocity"])
+            yield pd.DataFrame(out, columns=[*_PITCH, "start_tick", "end_tick", "velocity"])
 
-    return raw.groupBy("file_id", "track_id", "pitch").applyInPandasWithState(run, _NOTE, "starts array<long>, velocities array<int>", "append", GroupStateTimeout.NoTimeout)
+    dealt = raw.withColumn("__bucket", F.pmod(F.xxhash64(*_PITCH), F.lit(buckets)))
+    return dealt.groupBy("__bucket").applyInPandasWithState(run, _NOTE, "files array<string>, tracks array<long>, pitches array<int>, starts array<long>, velocities array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
 def silence_sessions(notes: DataFrame, bar_seconds: float, late: str = "10 minutes", group: tuple[str, ...] = ("track_id",)) -> DataFrame:
